@@ -64,11 +64,18 @@ def _wide(raw: bytes) -> np.ndarray:
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
-    return int(keys[0]).to_bytes(8, "little") + _narrow(np.diff(keys))
+    """Sorted keys: the first, then differences in 4 bytes each; the few that need more have their upper parts in a list."""
+    gap = np.diff(keys)
+    high = gap >> _U(32)
+    at = np.flatnonzero(high)
+    return b"".join((int(keys[0]).to_bytes(8, "little"), len(at).to_bytes(4, "little"), at.astype("<u4").tobytes(), high[at].astype("<u4").tobytes(), gap.astype("<u4").tobytes()))
 
 
 def _unpack_keys(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.r_[np.frombuffer(raw[:8], "<u8").astype(np.int64), _wide(raw[8:])])
+    n = int.from_bytes(raw[8:12], "little")
+    gap = np.frombuffer(raw, "<u4", offset=12 + 8 * n).astype(np.int64)
+    gap[np.frombuffer(raw, "<u4", n, 12)] += np.frombuffer(raw, "<u4", n, 12 + 4 * n).astype(np.int64) << 32
+    return np.cumsum(np.r_[int.from_bytes(raw[:8], "little"), gap])
 
 
 def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, leave_out: bool = True, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, part_grams: int = PART_GRAMS) -> DataFrame:
