@@ -53,14 +53,16 @@ def _grams(table: pa.Table, order: int, bits: int) -> tuple[list[tuple[np.ndarra
 
 
 def _narrow(x: np.ndarray) -> bytes:
-    """Non-negative integers in 1, 4 or 8 bytes each, after a byte that says which."""
-    top = int(x.max()) if len(x) else 0
-    size = 1 if top < 256 else 4 if top < 1 << 32 else 8
-    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+    """Non-negative integers, nearly all small: one byte each, and a list of those from 255 on."""
+    at = np.flatnonzero(x >= 255)
+    return b"".join((len(at).to_bytes(4, "little"), at.astype("<u4").tobytes(), x[at].astype("<u8").tobytes(), np.minimum(x, 255).astype(np.uint8).tobytes()))
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    n = int.from_bytes(raw[:4], "little")
+    x = np.frombuffer(raw, np.uint8, offset=4 + 12 * n).astype(np.int64)
+    x[np.frombuffer(raw, "<u4", n, 4)] = np.frombuffer(raw, "<u8", n, 4 + 4 * n)
+    return x
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
