@@ -217,7 +217,8 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
     candidates = cluster.join(reps, "rep")
     total = candidates.groupBy("cluster").agg(((F.count("*") > CLUSTER_ROWS) | (F.sum("grams") > CLUSTER_GRAMS)).alias("big"))
     candidates = written(candidates.join(total, "cluster").select("set_key", F.col("rep").alias("doc_id"), "cluster", "weight", "bands", "big"), "candidates")
-    sets = gram_sets(d.join(candidates.select("doc_id"), "doc_id", "left_semi"), n)
+    # merged at every size: the ids of candidates grow with the documents, so they are never broadcast
+    sets = gram_sets(d.join(candidates.select("doc_id").hint("merge"), "doc_id", "left_semi"), n)
     full = candidates.join(sets, "set_key")
     big_exists = not candidates.where("big").isEmpty()
     if big_exists:
