@@ -202,16 +202,28 @@ class TextEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index = _Index({"\n": 0})
+        self.index, self.rooms = _Index({"\n": 0}), {}
         self.flat, self.start, self.count = np.empty(0, np.int32), np.zeros(1, np.int64), np.zeros(1, np.int64)
         for s, i in self.bpe.specials.items():
             self.index["\0" + s]
             self._add(np.array([i], np.int32), np.array([1]))
 
     def _add(self, ids: np.ndarray, count: np.ndarray) -> None:
-        self.start = np.r_[self.start, len(self.flat) + np.cumsum(count) - count]
-        self.count = np.r_[self.count, count]
-        self.flat = np.r_[self.flat, ids]
+        self._append("start", len(self.flat) + np.cumsum(count) - count)
+        self._append("count", count)
+        self._append("flat", ids)
+
+    def _append(self, name: str, values: np.ndarray) -> None:
+        """Grow an array in place; its room doubles, so that small additions do not copy it."""
+        old = getattr(self, name)
+        room = self.rooms.get(name, old)
+        n = len(old) + len(values)
+        if n > len(room) or old.base is not room:
+            room = np.empty(max(n, 2 * len(old), 1024), old.dtype)
+            room[: len(old)] = old
+            self.rooms[name] = room
+        room[len(old) : n] = values
+        setattr(self, name, room[:n])
 
     def _pretokens(self, chunk: str) -> list[str]:
         out = []

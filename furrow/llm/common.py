@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 _U = np.uint64
@@ -56,6 +57,18 @@ def spare_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def hash_sample(df: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """About `size` rows (all, if there are fewer): those whose hash falls into the share size / count.
+
+    A filter, so no rows meet anywhere; reruns agree.
+    """
+    n = df.count()
+    if n <= size:
+        return df
+    share = int(size / n * 2**53)
+    return df.where(F.shiftrightunsigned(F.xxhash64(*keys), 11) < share)
+
+
 # ---------------------------------------------------------------- byte scanning
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null is the empty text."""

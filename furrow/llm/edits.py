@@ -84,11 +84,12 @@ class TokenTree:
             self.sums[node] += change
             node //= 2
 
-    def edit(self, start: int, stop: int, new: str) -> None:
+    def plan(self, start: int, stop: int, new: str) -> tuple[int, int, str] | None:
+        """(first leaf, last leaf, their text after the edit), None if nothing changes."""
         start = min(max(start, 0), self.chars)
         stop = min(max(stop, start), self.chars)
         if start == stop and not new:
-            return
+            return None
         if not self.leaves:
             self._build([""], np.zeros(1, np.int64))
         first, begin = self.find(start) if start < self.chars else self._end()
@@ -98,20 +99,23 @@ class TokenTree:
         while region and region[-1] not in _BLANK and last + 1 < len(self.leaves):
             last += 1
             region += self.leaves[last]
-        # only pieces that the edit made or joined are encoded; the rest of the leaves was taken whole
+        return first, last, region
+
+    def apply(self, plan: tuple[int, int, str], tokens: int) -> None:
+        """Carry out a plan whose text has that many tokens."""
+        first, last, region = plan
         self.encoded_chars += len(region)
-        self._set(first, region, int(self.count([region])[0]))
+        self._set(first, region, tokens)
         for leaf in range(first + 1, last + 1):
             self._set(leaf, "", 0)
         if len(region) > _REBUILD_CHARS:
-            leaves = [y for x in self.leaves for y in (_LEAF.findall(x) if len(x) > _REBUILD_CHARS else [x])]
-            tokens, old = np.empty(len(leaves), np.int64), iter(self.sums[self.size :, 1].tolist())
-            at = 0
-            for x in self.leaves:
-                parts, n = (_LEAF.findall(x) if len(x) > _REBUILD_CHARS else [x]), next(old)
-                tokens[at : at + len(parts)] = self.count(parts) if len(parts) > 1 else n
-                at += len(parts)
-            self._build(leaves, tokens)
+            parts = [_LEAF.findall(x) if len(x) > _REBUILD_CHARS else [x] for x in self.leaves]
+            counts = [self.count(p) if len(p) > 1 else [n] for p, n in zip(parts, self.sums[self.size :, 1].tolist(), strict=False)]
+            self._build([x for p in parts for x in p], np.concatenate(counts))
+
+    def edit(self, start: int, stop: int, new: str) -> None:
+        if (plan := self.plan(start, stop, new)) is not None:
+            self.apply(plan, int(self.count([plan[2]])[0]))
 
     def _end(self) -> tuple[int, int]:
         """The end of the last leaf that has text, so that an appended word joins an unfinished one."""
@@ -150,14 +154,15 @@ def count_edits(docs: DataFrame, path: str | None = None, text: str = "text", ed
                 leaves = [_LEAF.findall(x) for x in texts]
                 tokens = count([x for each in leaves for x in each])
                 ends = np.cumsum([len(x) for x in leaves])
-                rows = []
-                for k, changes in enumerate(batch.column(edits).slice(i, j - i).to_pylist()):
-                    tree = TokenTree(leaves[k], tokens[ends[k] - len(leaves[k]) : ends[k]], count)
-                    before = tree.tokens
-                    for e in changes or []:
-                        if e is not None:
-                            tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                    rows.append((before, tree.tokens, tree.chars, tree.encoded_chars, *[tree.text()] * with_text))
+                trees = [TokenTree(x, tokens[e - len(x) : e], count) for x, e in zip(leaves, ends.tolist(), strict=True)]
+                before = [t.tokens for t in trees]
+                queues = [[e for e in changes or [] if e is not None] for changes in batch.column(edits).slice(i, j - i).to_pylist()]
+                for nth in range(max(map(len, queues), default=0)):  # the nth edits of all documents are encoded together
+                    due = [(t, t.plan(q[nth]["start"] or 0, q[nth]["stop"] or 0, q[nth]["text"] or "")) for t, q in zip(trees, queues, strict=True) if len(q) > nth]
+                    due = [(t, p) for t, p in due if p is not None]
+                    for (t, p), n in zip(due, count([p[2] for _, p in due]).tolist(), strict=True):
+                        t.apply(p, n)
+                rows = [(b, t.tokens, t.chars, t.encoded_chars, *[t.text()] * with_text) for b, t in zip(before, trees, strict=True)]
                 new = [pa.array(c, pa.string() if b == "edited_text" else pa.int64()) for c, b in zip(zip(*rows, strict=True), base, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(n).slice(i, j - i) for n in names] + new, schema.names)
 
