@@ -8,7 +8,7 @@ each automaton against a character model of ordinary strings, per character.  A
 maximal run of 16 or more credential characters (final dots cut) with a letter and a digit that
 overlaps no base span; it is added under its best automaton's name if the score passes that
 automaton's threshold: the least score of held-out labelled strings, but above every string of the
-bounded benign sample (BENIGN_DOCS documents of the corpus, those with the lowest hashes).
+bounded benign sample (about BENIGN_DOCS documents of the corpus, drawn by hash).
 
 Base spans always stay.  Positions are code points, end exclusive.  Null text is the empty text.
 The scan is map-only and goes over whole texts; automata are a few hundred states, whatever the data.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.common import slices, spare_name, utf8
+from furrow.llm.common import hash_sample, slices, spare_name, utf8
 
 # The base rules and their order.
 BASE_KINDS = ("assign", "access", "hex")
@@ -204,8 +204,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def benign_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = BENIGN_DOCS) -> list[str]:
-    """Candidate-like strings outside base spans of the `limit` documents with the lowest hashes (of texts of at most 20,000 characters)."""
-    rows = docs.where(F.length(text) <= 20_000).select(F.col(text).alias("t"), F.xxhash64(doc_id, text).alias("h")).orderBy("h").limit(limit).collect()
+    """Candidate-like strings outside base spans of about `limit` documents, drawn by hash (of texts of at most 20,000 characters)."""
+    rows = hash_sample(docs.select(doc_id, text), [doc_id, text], limit).where(F.length(text) <= 20_000).select(F.col(text).alias("t")).collect()
     out = []
     for row in rows:
         taken = base_spans(row.t)
