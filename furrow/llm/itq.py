@@ -1,6 +1,6 @@
 """Operator 2: embedding near-dedup with iterative quantisation and multi-index Hamming tables.
 
-A rotation is learned on a bounded sample (SAMPLE vectors, those with the lowest hashes) so that the
+A rotation is learned on a bounded sample (about SAMPLE vectors, drawn by hash) so that the
 signs of the rotated vector are a balanced binary code: principal axes first, then alternating sign
 assignment and orthogonal Procrustes.  Every vector is encoded.  Codes of 64 bits are cut into
 substrings, one table each; two vectors meet in a table if they have the same label and dimension and
@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import written
+from furrow.llm.common import hash_sample, written
 from furrow.llm.graph import components
 
 THRESHOLD = 0.98
@@ -153,7 +153,7 @@ def _pairs(tables: int, radius: int, threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", sample: int = SAMPLE, small_label: int = SMALL_LABEL) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of vectors."""
     rows = usable(vectors, vec_id, embedding, label)
-    drawn = rows.select("x", F.xxhash64("vec_id", "x").alias("h")).orderBy("h").limit(sample).select("x").toPandas()["x"]
+    drawn = hash_sample(rows, ["vec_id", "x"], sample).select("x").toPandas()["x"]
     by_dim: dict[int, list] = {}
     for x in drawn:
         by_dim.setdefault(len(x), []).append(x)
