@@ -3,12 +3,15 @@
 Base rules find assignments, access keys and hex runs by pattern.  On top of them, the method learns
 formats: for each kind of labelled credential a prefix tree of its strings is folded into a
 probabilistic automaton by merging states whose observed frequencies are statistically compatible
-(Hoeffding bound, red-blue order), and every candidate string is scored by its log likelihood under
+(Hoeffding bound, red-blue order, the best explaining of several), and every candidate string is scored by its log likelihood under
 each automaton against a character model of ordinary strings, per character.  A candidate is a
 maximal run of 16 or more credential characters (final dots cut) with a letter and a digit that
 overlaps no base span; it is added under its best automaton's name if the score passes that
 automaton's threshold: the least score of held-out labelled strings, but above every string of the
-bounded benign sample (about BENIGN_DOCS documents of the corpus, drawn by hash).
+bounded benign sample (about BENIGN_DOCS documents of the corpus, drawn by hash).  A candidate must
+also be as likely under the automaton alone as held-out strings are (less SLACK).  The sample is not
+labelled and may hold credentials itself: strings that pass this second test are taken for the
+automaton's own and neither raise its threshold nor count as ordinary.
 
 Base spans always stay.  Positions are code points, end exclusive.  Null text is the empty text.
 The scan is map-only and goes over whole texts; automata are a few hundred states, whatever the data.
@@ -41,6 +44,8 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{15,}")
 _HINT = re.compile(r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]")
 BENIGN_DOCS = 2000
+TRAINING, HELD_OUT, ALPHA = 1000, 100, 0.01
+SLACK = 0.1
 FLOOR = math.log(1e-4)
 _LOWER, _UPPER, _ALNUM = string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits
 
@@ -54,7 +59,7 @@ FORMATS = {
 }
 
 
-def labelled_credentials(n: int = 300, seed: int = 5) -> dict[str, list[str]]:
+def labelled_credentials(n: int = TRAINING, seed: int = 5) -> dict[str, list[str]]:
     """Seeded labelled strings of each kind."""
     rng = random.Random(seed)
     return {k: ["".join(p + "".join(rng.choices(a, k=m)) for p, a, m in parts) for _ in range(n)] for k, parts in FORMATS.items()}
@@ -63,7 +68,7 @@ def labelled_credentials(n: int = 300, seed: int = 5) -> dict[str, list[str]]:
 class Automaton:
     """Probabilistic deterministic automaton inferred from strings."""
 
-    def __init__(self, strings: list[str], alpha: float = 0.05):
+    def __init__(self, strings: list[str], alpha: float = ALPHA):
         self.visits, self.ends = [0], [0]
         self.next: list[dict[str, int]] = [{}]
         self.seen: list[Counter] = [Counter()]
@@ -94,14 +99,27 @@ class Automaton:
                 self.red = red
                 return
             b, parent, ch = max(blue, key=lambda x: self.visits[x[0]])
-            for r in red:
-                if self._compatible(r, b):
-                    self.next[parent][ch] = r
-                    self._fold(r, b)
-                    break
+            fitting = [r for r in red if self._compatible(r, b)]
+            if fitting:  # rare states are compatible with many: the one that explains their strings best takes them
+                r = max(fitting, key=lambda r: self._fit(r, b))
+                self.next[parent][ch] = r
+                self._fold(r, b)
             else:
                 red.append(b)
 
+    def _fit(self, a: int, b: int) -> float:
+        """Log likelihood of the strings below b under the automaton from a."""
+        todo, total = [(a, b)], 0.0
+        while todo:
+            a, b = todo.pop()
+            n = self.visits[a]
+            if self.ends[b]:
+                total += self.ends[b] * (math.log(self.ends[a] / n) if self.ends[a] else FLOOR)
+            for c, m in self.seen[b].items():
+                total += m * (math.log(self.seen[a][c] / n) if self.seen[a][c] else FLOOR)
+                todo.append((self.next[a].get(c, a), self.next[b][c]))
+        return total
+
     def _differ(self, f1: int, n1: int, f2: int, n2: int) -> bool:
         return bool(n1 and n2) and abs(f1 / n1 - f2 / n2) >= self.bound * (n1**-0.5 + n2**-0.5)
 
@@ -143,25 +161,37 @@ class Automaton:
             at = self.next[at].get(c, at)
         return total + self.stop[at]
 
+    def mean(self, s: str) -> float:
+        return self.log_likelihood(s) / len(s)
+
+
+@lru_cache(maxsize=4)
+def _inferred(alpha: float) -> dict[str, Automaton]:
+    return {k: Automaton(v, alpha) for k, v in labelled_credentials(TRAINING).items()}
+
 
 class Scanner:
     """Base rules, automata and thresholds."""
 
-    def __init__(self, benign: list[str], alpha: float = 0.05):
+    def __init__(self, benign: list[str], alpha: float = ALPHA):
+        held_out = labelled_credentials(HELD_OUT, seed=6)
+        self.automata = _inferred(alpha)
+        self.least = {k: min(map(a.mean, held_out[k])) - SLACK for k, a in self.automata.items()}
+        benign = [s for s in benign if len(s) < 16 or not _mixed(s) or not self._formats(s)]
         pairs: dict[str, Counter] = defaultdict(Counter)
         for s in benign:
             for a, b in zip("^" + s, s, strict=False):
                 pairs[a][b] += 1
         self.pairs = {a: (dict(c), sum(c.values())) for a, c in pairs.items()}
-        labelled = labelled_credentials()
-        held_out = labelled_credentials(n=100, seed=6)
-        self.automata = {k: Automaton(v, alpha) for k, v in labelled.items()}
         self.limits = {}
         odd = [s for s in benign if _mixed(s)]
         for k, auto in self.automata.items():
             self.limits[k] = max([min(self._score(auto, s) for s in held_out[k]), *(self._score(auto, s) + 0.25 for s in odd)])
         self.kinds = (*BASE_KINDS, *self.automata)
 
+    def _formats(self, s: str) -> list[str]:
+        return [k for k, a in self.automata.items() if a.mean(s) >= self.least[k]]
+
     def _benign(self, s: str) -> float:
         total = 0.0
         for a, b in zip("^" + s, s, strict=False):
@@ -175,15 +205,16 @@ class Scanner:
     def spans(self, text: str) -> list[tuple[str, int, int, float | None]]:
         """(kind, start, end, score) by start, then kind; base spans have no score."""
         out = base_spans(text)
-        taken = [(a, b) for _, a, b in out]
-        found = [(k, a, b, None) for k, a, b in out]
+        found, at, done = [(k, a, b, None) for k, a, b in out], 0, 0
         for m in CANDIDATE.finditer(text):
             s = m[0].rstrip(".")
             a, b = m.start(), m.start() + len(s)
-            if len(s) < 16 or not _mixed(s) or any(x < b and a < y for x, y in taken):
+            while at < len(out) and out[at][1] < b:  # both run by start, so each base span is passed once
+                done, at = max(done, out[at][2]), at + 1
+            if len(s) < 16 or not _mixed(s) or done > a:
                 continue
-            score, kind = max((self._score(auto, s), k) for k, auto in self.automata.items())
-            if score >= self.limits[kind]:
+            score, kind = max(((self._score(self.automata[k], s), k) for k in self._formats(s)), default=(None, None))
+            if kind and score >= self.limits[kind]:
                 found.append((kind, a, b, score))
         return sorted(found, key=lambda x: (x[1], self.kinds.index(x[0])))
 

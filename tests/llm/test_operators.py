@@ -261,6 +261,12 @@ def test_secrets(docs, nothing):
     hits = [any(k == kind for k, *_ in scanner.spans(f"see {s} here")) for kind, each in fresh.items() for s in each]
     assert sum(hits) / len(hits) > 0.9
     assert not any(scanner.spans(f"see {s} here") for s in benign)
+    rng = random.Random(12)
+    blobs = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=rng.randint(16, 90))) for _ in range(300)]
+    assert not any(k not in secrets.BASE_KINDS for s in blobs for k, *_ in scanner.spans(f"see {s} here"))
+    inside = secrets.Scanner(benign + [s for each in secrets.labelled_credentials(200, seed=91).values() for s in each])
+    hits = [any(k == kind for k, *_ in inside.spans(f"see {s} here")) for kind, each in fresh.items() for s in each]
+    assert sum(hits) / len(hits) > 0.9, "credentials in the unlabelled sample must not raise the thresholds"
     got = secrets.scan(docs, redact_with="[SECRET]").where("text like '%[SECRET]%'").collect()
     assert len(got) == 1 and got[0].secrets == "s" and "AKIA" not in got[0].text
     assert secrets.scan(nothing).count() == 0
