@@ -9,10 +9,12 @@ bits and radius 1 (larger labels), every pair within 7 differing bits meets at l
 the size; at a cosine of 0.98 about 4 bits differ.  Found pairs are reranked by the cosine of the
 original vectors in double precision.
 
-Buckets are split into cells of bounded size, a pair belongs to the first table where it meets, and a
+Equal vectors of a label collapse into one representative first, with a map-side combine, so copies are
+never paired.  Buckets are split into cells of bounded size, a pair belongs to the first table where it meets, and a
 cell returns one row per vector (links found, local root), never a list of pairs; components are
-joined over the local roots.  Vectors that are null, zero, or hold null or non-finite components, and
-vectors without a label, link with nothing.  Rows that share a vec_id are vectors of one node.
+joined over the local roots.  Links are counted over vectors, copies included.  Vectors that are null, zero, or hold null or non-finite components, and
+vectors without a label, link with nothing.  Rows that share a vec_id are vectors of one node: each
+counts its own links, and all have one component.
 """
 
 from __future__ import annotations
@@ -57,12 +59,13 @@ def codes(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
     return np.packbits(full, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def usable(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """vec_id, label, dim, v (little-endian doubles) of the vectors that can link."""
+def keyed(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
+    """vec_id, label, x (array<double>), and (k1, k2), a 128-bit key of label and vector that is null for vectors that cannot link."""
     v = F.col(embedding).cast("array<double>")
-    finite = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), v.alias("x"))
-    return rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & finite & F.exists("x", lambda c: c != 0))
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), v.alias("x"))
+    finite = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
+    ok = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("x").isNotNull() & finite & F.exists("x", lambda c: c != 0)
+    return rows.select("*", *[F.when(ok, F.xxhash64(F.lit(k), "label", "x")).alias(f"k{k}") for k in (1, 2)])
 
 
 def substrings(code: np.ndarray, tables: int) -> np.ndarray:
@@ -100,18 +103,17 @@ def _entries(rows: DataFrame, rotations: dict[int, np.ndarray], tables: int, rad
                     probe.append(np.ones(len(on), bool))
                 w = np.concatenate(who)
                 rows_at = pa.array(own[w])
-                columns = [batch.column("vec_id").take(rows_at), batch.column("label").cast(pa.string()).take(rows_at), pa.array(np.full(len(w), dim), pa.int32()), pa.array(np.full(len(w), t), pa.int32()), pa.array(np.concatenate(key)), pa.array(np.concatenate(probe)), pa.array(code[w].view(np.int64)), pa.array([raw[i] for i in w.tolist()], pa.binary())]
+                columns = [*(batch.column(c).take(rows_at) for c in ("k1", "k2", "vec_id", "weight", "label")), pa.array(np.full(len(w), dim), pa.int32()), pa.array(np.full(len(w), t), pa.int32()), pa.array(np.concatenate(key)), pa.array(np.concatenate(probe)), pa.array(code[w].view(np.int64)), pa.array([raw[i] for i in w.tolist()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "vec_id long, label string, dim int, t int, key long, probe boolean, code long, v binary"
+    schema = "k1 long, k2 long, vec_id long, weight long, label string, dim int, t int, key long, probe boolean, code long, v binary"
     names = [c.split()[0] for c in schema.split(", ")]
     return rows.mapInArrow(run, schema)
 
 
 def _pairs(tables: int, radius: int, threshold: float):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["vec_id", "chunk"], kind="stable").reset_index(drop=True)
-        ids, n = rows["vec_id"].to_numpy(), len(rows)
+        ids, weight, n = rows["vec_id"].to_numpy(), rows["weight"].to_numpy(), len(rows)
         t, probe = int(rows["t"].iloc[0]), rows["probe"].to_numpy()
         chunk = rows["chunk"].to_numpy() if rows["lo"].iloc[0] != rows["hi"].iloc[0] else None
         v = np.frombuffer(b"".join(rows["v"]), np.float64).reshape(n, -1)
@@ -137,14 +139,14 @@ def _pairs(tables: int, radius: int, threshold: float):
                 apart = np.bitwise_count(sub[j, :t] ^ sub[i, :t])
                 j = j[(apart > radius).all(1)]  # else an earlier table has the pair
             if len(j):
-                links[i] += len(j)
-                links[j] += 1
+                links[i] += weight[j].sum()
+                links[j] += weight[i]
                 a = find(i)
                 for r in {find(x) for x in np.unique(parent[j]).tolist()}:
                     lo, hi = (a, r) if ids[a] <= ids[r] else (r, a)
                     parent[hi] = lo
                     a = lo
-        out = pd.DataFrame({"vec_id": ids, "links": links, "root": ids[[find(i) for i in range(n)]]})
+        out = pd.DataFrame({"k1": rows["k1"], "k2": rows["k2"], "vec_id": ids, "links": links, "root": ids[[find(i) for i in range(n)]]})
         return out[out["links"] > 0]
 
     return run
@@ -152,8 +154,11 @@ def _pairs(tables: int, radius: int, threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", sample: int = SAMPLE, small_label: int = SMALL_LABEL) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row for each row of vectors."""
-    rows = usable(vectors, vec_id, embedding, label)
-    drawn = hash_sample(rows, ["vec_id", "x"], sample).select("x").toPandas()["x"]
+    rows = keyed(vectors, vec_id, embedding, label)
+    can, key = rows.where("k1 is not null"), ["k1", "k2"]
+    reps = can.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"), F.any_value("label").alias("label"), F.any_value("x").alias("x"))
+    reps = written(reps, "reps")
+    drawn = hash_sample(reps, key, sample).select("x").toPandas()["x"]
     by_dim: dict[int, list] = {}
     for x in drawn:
         by_dim.setdefault(len(x), []).append(x)
@@ -162,18 +167,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
         m = np.array(xs)
         m /= np.abs(m).max(1, keepdims=True)
         rotations[dim] = learn_rotation(m)
-    largest = rows.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     tables, radius = (8, 0) if largest <= small_label else (4, 1)
-    entries = written(_entries(rows, rotations, tables, radius), "entries")
-    key = ["label", "dim", "t", "key"]
-    sizes = entries.groupBy(*key).agg(F.count("*").alias("m"), F.count_if(~F.col("probe")).alias("own")).where("m > 1 and own > 0")
-    cells = entries.join(sizes, key).withColumn("chunks", F.ceil(F.col("m") / CELL_ROWS).cast("int"))
-    cells = cells.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
+    entries = written(_entries(reps, rotations, tables, radius), "entries")
+    bucket = ["label", "dim", "t", "key"]
+    sizes = entries.groupBy(*bucket).agg(F.count("*").alias("m"), F.count_if(~F.col("probe")).alias("own")).where("m > 1 and own > 0")
+    cells = entries.join(sizes, bucket).withColumn("chunks", F.ceil(F.col("m") / CELL_ROWS).cast("int"))
+    cells = cells.withColumn("chunk", F.pmod(F.xxhash64(*key), F.col("chunks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other", "chunks", "m", "own")
-    found = written(cells.groupBy(*key, "lo", "hi").applyInPandas(_pairs(tables, radius, threshold), "vec_id long, links long, root long"), "found")
-    links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    roots = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "vec_id")
-    out = vectors.select(F.col(vec_id).cast("long").alias("vec_id")).join(links, "vec_id", "left").join(roots, "vec_id", "left")
-    root = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(root == F.col("vec_id"), F.lit(True)).alias("kept"))
+    found = written(cells.groupBy(*bucket, "lo", "hi").applyInPandas(_pairs(tables, radius, threshold), "k1 long, k2 long, vec_id long, links long, root long"), "found")
+    links = found.groupBy(*key).agg(F.sum("links").alias("links"))
+    edges = found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))
+    # ids with several different vectors tie those vectors' representatives together
+    several = rows.groupBy("vec_id").agg(F.count("*").alias("n"), F.count("k1").alias("n_can"), F.min(F.struct(*key)).alias("lo"), F.max(F.struct(*key)).alias("hi"))
+    several = written(several.where("vec_id is not null and n_can > 0 and (n > n_can or lo <> hi)").select("vec_id"), "several")
+    if not several.isEmpty():
+        tied = can.select("vec_id", *key).join(several, "vec_id", "left_semi").join(reps.select(*key, F.col("vec_id").alias("rep")), key)
+        edges = edges.union(tied.select("vec_id", "rep"))
+    roots = written(components(edges), "roots").select(F.col("node").alias("rep"), "root")
+    result = reps.select(*key, F.col("vec_id").alias("rep"), "weight").join(links, key, "left").join(roots, "rep", "left")
+    result = result.select(*key, (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    alone = rows.where("k1 is null").select(F.col("vec_id").alias("rep")).join(roots, "rep", "left").select(F.col("rep").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    out = can.select("vec_id", *key).join(result, key).select("vec_id", "n_links", "component_id").union(alone)
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))

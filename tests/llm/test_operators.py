@@ -89,6 +89,16 @@ def test_embeddings(spark, small_label):
     assert itq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_copies_and_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(itq, "CELL_ROWS", 3)
+    a, b, c = [1.0, 0.0, 0.5], [1.0, 0.02, 0.5], [0.0, 1.0, 0.0]
+    rows = [(i, a, 1) for i in range(10, 20)] + [(20, b, 1), (21, c, 1), (22, a, 2), (23, [2 * x for x in a], 1), (7, c, 1), (7, a, 1), (7, None, 1), (None, a, 1), (24, None, 1), (20, b, 1)]
+    out = sorted((tuple(r) for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    of = {7: [0, 1, 13], 20: [13, 13], 21: [1], 22: [0], 23: [13], 24: [0], None: [0]} | {i: [13] for i in range(10, 20)}
+    root = dict.fromkeys([7, *range(10, 22), 23], 7) | {22: 22, 24: 24, None: None}
+    assert out == sorted(((i, n, root[i], i is None or root[i] == i) for i, all_ in of.items() for n in all_), key=str)
+
+
 def brute_quality(text):
     w = WORD.findall(text or "")
     windows = defaultdict(list)
