@@ -4,9 +4,12 @@ Base rules find assignments, access keys and hex runs by pattern.  On top of the
 formats: for each kind of labelled credential a prefix tree of its strings is folded into a
 probabilistic automaton by merging states whose observed frequencies are statistically compatible
 (Hoeffding bound, red-blue order, the best explaining of several), and every candidate string is scored by its log likelihood under
-each automaton against a character model of ordinary strings, per character.  A candidate is a
-maximal run of 16 or more credential characters (final dots cut) with a letter and a digit that
-overlaps no base span; it is added under its best automaton's name if the score passes that
+each automaton against a character model of ordinary strings, per character.  Candidates are the
+stretches of 16 or more characters of a maximal run of credential characters (final dots cut) and
+the run itself.  A stretch starts anywhere and goes on while its automaton knows the next character;
+of those that end at one place in one state the likeliest start is taken, of the ends of a start the
+last that passes.  So a credential is found behind `NAME=` or inside a URL.  Candidates that
+overlap no base span are added, best score first and free of overlaps, under the automaton's name if the score passes that
 automaton's threshold: the least score of held-out labelled strings, but above every string of the
 bounded benign sample (about BENIGN_DOCS documents of the corpus, drawn by hash).  A candidate must
 also be as likely under the automaton alone as held-out strings are (less SLACK).  The sample is not
@@ -19,6 +22,7 @@ The scan is map-only and goes over whole texts; automata are a few hundred state
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -47,6 +51,7 @@ BENIGN_DOCS = 2000
 TRAINING, HELD_OUT, ALPHA = 1000, 100, 0.01
 SLACK = 0.1
 FLOOR = math.log(1e-4)
+MIN_RUN = 16
 _LOWER, _UPPER, _ALNUM = string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits
 
 # Public credential formats from which labelled strings are drawn: (literal prefix, alphabet, length) parts.
@@ -90,6 +95,10 @@ class Automaton:
         self._merge_states()
         self.logs = [{c: math.log(n / max(v, 1)) for c, n in seen.items()} for seen, v in zip(self.seen, self.visits, strict=True)]
         self.stop = [math.log(e / v) if e else FLOOR for e, v in zip(self.ends, map(lambda v: max(v, 1), self.visits), strict=True)]
+        at, self.prefix = 0, ""  # what every string that is followed without an unknown character begins with
+        while len(self.next[at]) == 1 and not self.ends[at] and len(self.prefix) < len(self.red):
+            (c, at), = self.next[at].items()
+            self.prefix += c
 
     def _merge_states(self) -> None:
         red = [0]
@@ -164,6 +173,33 @@ class Automaton:
     def mean(self, s: str) -> float:
         return self.log_likelihood(s) / len(s)
 
+    def stretches(self, s: str, least: float) -> Iterator[tuple[int, int, float]]:
+        """(start, end, log likelihood) of stretches of s with known characters only and a mean of at least `least`.
+
+        Of stretches that meet in a state, only the one furthest above `least` is followed: whatever
+        comes next adds the same to all of them.
+        """
+        if self.prefix not in s:
+            return
+        paths: dict[int, tuple[float, int]] = {}
+        i = s.find(self.prefix)
+        while 0 <= i < len(s):
+            if s.startswith(self.prefix, i) and (0 not in paths or paths[0][0] < 0):
+                paths[0] = (0.0, i)
+            c, onward = s[i], {}
+            for at, (above, start) in paths.items():
+                step = self.logs[at].get(c)
+                if step is not None:
+                    above, to = above + step - least, self.next[at][c]
+                    if to not in onward or onward[to][0] < above:
+                        onward[to] = (above, start)
+            paths, i = onward, i + 1
+            for at, (above, start) in paths.items():
+                if i - start >= MIN_RUN and self.ends[at] and above + self.stop[at] >= 0:
+                    yield start, i, above + least * (i - start) + self.stop[at]
+            if not paths:
+                i = s.find(self.prefix, i)
+
 
 @lru_cache(maxsize=4)
 def _inferred(alpha: float) -> dict[str, Automaton]:
@@ -177,14 +213,14 @@ class Scanner:
         held_out = labelled_credentials(HELD_OUT, seed=6)
         self.automata = _inferred(alpha)
         self.least = {k: min(map(a.mean, held_out[k])) - SLACK for k, a in self.automata.items()}
-        benign = [s for s in benign if len(s) < 16 or not _mixed(s) or not self._formats(s)]
+        benign = [s for s in benign if len(s) < MIN_RUN or not self._holds_format(s)]
         pairs: dict[str, Counter] = defaultdict(Counter)
         for s in benign:
             for a, b in zip("^" + s, s, strict=False):
                 pairs[a][b] += 1
         self.pairs = {a: (dict(c), sum(c.values())) for a, c in pairs.items()}
         self.limits = {}
-        odd = [s for s in benign if _mixed(s)]
+        odd = [s for s in benign if _mixed(s) or len(s) >= MIN_RUN]
         for k, auto in self.automata.items():
             self.limits[k] = max([min(self._score(auto, s) for s in held_out[k]), *(self._score(auto, s) + 0.25 for s in odd)])
         self.kinds = (*BASE_KINDS, *self.automata)
@@ -192,30 +228,50 @@ class Scanner:
     def _formats(self, s: str) -> list[str]:
         return [k for k, a in self.automata.items() if a.mean(s) >= self.least[k]]
 
+    def _holds_format(self, s: str) -> bool:
+        return bool(self._formats(s)) or any(True for k, a in self.automata.items() for _ in a.stretches(s, self.least[k]))
+
+    def _pair(self, a: str, b: str) -> float:
+        seen, n = self.pairs.get(a, ({}, 0))
+        return math.log((seen.get(b, 0) + 0.02) / (n + 0.02 * 70))
+
     def _benign(self, s: str) -> float:
-        total = 0.0
-        for a, b in zip("^" + s, s, strict=False):
-            seen, n = self.pairs.get(a, ({}, 0))
-            total += math.log((seen.get(b, 0) + 0.02) / (n + 0.02 * 70))
-        return total
+        return sum(self._pair(a, b) for a, b in zip("^" + s, s, strict=False))
 
     def _score(self, auto: Automaton, s: str) -> float:
         return (auto.log_likelihood(s) - self._benign(s)) / len(s)
 
+    def _in_run(self, s: str, taken: list[tuple[int, int]]) -> list[tuple[float, str, int, int]]:
+        """(score, kind, start, end) of the spans found in a run, none of which overlaps `taken` or another."""
+        best: dict[tuple[str, int], tuple[float, int]] = {}
+        sums = None
+        for k, auto in self.automata.items():
+            for a, b, likelihood in auto.stretches(s, self.least[k]):
+                sums = sums or [0.0, *itertools.accumulate(self._pair(x, y) for x, y in zip("^" + s, s, strict=False))]
+                score = (likelihood - (self._pair("^", s[a]) + sums[b] - sums[a + 1])) / (b - a)
+                if score >= self.limits[k] and s[b - 1] != ".":
+                    best[k, a] = (score, b)  # ends come in order, so the last one stays
+        ranked = sorted(((score, k, a, b) for (k, a), (score, b) in best.items()), reverse=True)
+        ranked += sorted(((score, k, 0, len(s)) for k in self._formats(s) if (score := self._score(self.automata[k], s)) >= self.limits[k]), reverse=True)
+        spans = []
+        for one in ranked:
+            if all(one[3] <= a or b <= one[2] for a, b in taken):
+                spans.append(one)
+                taken = [*taken, one[2:]]
+        return spans
+
     def spans(self, text: str) -> list[tuple[str, int, int, float | None]]:
         """(kind, start, end, score) by start, then kind; base spans have no score."""
         out = base_spans(text)
-        found, at, done = [(k, a, b, None) for k, a, b in out], 0, 0
+        found, at = [(k, a, b, None) for k, a, b in out], 0
         for m in CANDIDATE.finditer(text):
-            s = m[0].rstrip(".")
-            a, b = m.start(), m.start() + len(s)
-            while at < len(out) and out[at][1] < b:  # both run by start, so each base span is passed once
-                done, at = max(done, out[at][2]), at + 1
-            if len(s) < 16 or not _mixed(s) or done > a:
+            s, first = m[0].rstrip("."), m.start()
+            if len(s) < MIN_RUN:
                 continue
-            score, kind = max(((self._score(self.automata[k], s), k) for k in self._formats(s)), default=(None, None))
-            if kind and score >= self.limits[kind]:
-                found.append((kind, a, b, score))
+            while at < len(out) and out[at][2] <= first:  # a base span that ends later comes again for the next run
+                at += 1
+            taken = [(max(a - first, 0), b - first) for _, a, b in itertools.takewhile(lambda x: x[1] < first + len(s), out[at:])]
+            found += [(k, first + a, first + b, score) for score, k, a, b in self._in_run(s, taken)]
         return sorted(found, key=lambda x: (x[1], self.kinds.index(x[0])))
 
 

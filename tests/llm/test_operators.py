@@ -284,6 +284,28 @@ def test_secrets(docs, nothing):
     assert q.base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_inside_runs():
+    benign = ["mail1.example.com", "heenthblenthatsh", "10.2.44.193-host-name-04", "version-2.14.7-release", "https://example.com/some/path", "AN_ORDINARY=assignment"] * 20
+    scanner = secrets.Scanner(benign)
+    fresh = secrets.labelled_credentials(30, seed=78)
+    for form in ("GOOGLE_MAPS={}", "see https://example.com/a?auth={}&x=1 now", "https://host.example.com/hooks/{}/rest", "AUTH={};next", "a/b={}"):
+        exact = total = 0
+        for kind, each in fresh.items():
+            for cred in each:
+                text, total = form.format(cred), total + 1
+                exact += any(k == kind and text[a:b] == cred for k, a, b, _ in scanner.spans(text))
+        assert exact / total > 0.8, form
+    rng = random.Random(4)
+    letters = ["ghp_" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=36)) for _ in range(40)]
+    assert sum(["forge_token"] == [k for k, *_ in scanner.spans(f"see {s} here")] for s in letters) > 36, "a credential needs no digit"
+    pair = fresh["forge_token"][0] + "/" + fresh["payment_key"][0]
+    assert [(k, pair[a:b]) for k, a, b, _ in scanner.spans(pair)] == [("forge_token", fresh["forge_token"][0]), ("payment_key", fresh["payment_key"][0])]
+    after_hex = "0123456789abcdef/" + fresh["chat_token"][0]
+    assert [k for k, *_ in scanner.spans(after_hex)] == ["hex", "chat_token"]
+    blob = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=200_000))
+    assert not [k for k, *_ in scanner.spans("x=" + blob) if k in ("forge_token", "payment_key")]
+
+
 def test_sharding(docs, nothing):
     names = [f"s{i}" for i in range(7)]
     table = sharding.fill(names, 1009)
