@@ -10,18 +10,20 @@ the run itself.  A stretch starts anywhere and goes on while its automaton knows
 of those that end at one place in one state the likeliest start is taken, of the ends of a start the
 last that passes.  So a credential is found behind `NAME=` or inside a URL.  Candidates that
 overlap no base span are added, best score first and free of overlaps, under the automaton's name if the score passes that
-automaton's threshold: the least score of held-out labelled strings, but above every string of the
-bounded benign sample (about BENIGN_DOCS documents of the corpus, drawn by hash).  A candidate must
-also be as likely under the automaton alone as held-out strings are (less SLACK).  The sample is not
-labelled and may hold credentials itself: strings that pass this second test are taken for the
-automaton's own and neither raise its threshold nor count as ordinary.
+automaton's threshold: the least score of held-out labelled strings, but above every ordinary string of the corpus.
+Both come from all strings of all texts: one pass counts character pairs, a second takes each
+automaton's largest score.  A candidate must
+also be as likely under the automaton alone as held-out strings are (less SLACK).  The corpus is not
+labelled and may hold credentials itself: strings that pass this second test, or hold a stretch that
+does, are taken for the automaton's own and neither raise its threshold nor count as ordinary.
 
 Base spans always stay.  Positions are code points, end exclusive.  Null text is the empty text.
-The scan is map-only and goes over whole texts; automata are a few hundred states, whatever the data.
+The passes shuffle partial sums only and go over whole texts; automata are a few hundred states, whatever the data.
 """
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 import random
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.common import hash_sample, slices, spare_name, utf8
+from furrow.llm.common import slices, spare_name, utf8
 
 # The base rules and their order.
 BASE_KINDS = ("assign", "access", "hex")
@@ -47,7 +49,7 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{15,}")
 _HINT = re.compile(r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]")
-BENIGN_DOCS = 2000
+ORDINARY = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 TRAINING, HELD_OUT, ALPHA = 1000, 100, 0.01
 SLACK = 0.1
 FLOOR = math.log(1e-4)
@@ -93,6 +95,7 @@ class Automaton:
             self.ends[at] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_states()
+        self._keep_merged()
         self.logs = [{c: math.log(n / max(v, 1)) for c, n in seen.items()} for seen, v in zip(self.seen, self.visits, strict=True)]
         self.stop = [math.log(e / v) if e else FLOOR for e, v in zip(self.ends, map(lambda v: max(v, 1), self.visits), strict=True)]
         at, self.prefix = 0, ""  # what every string that is followed without an unknown character begins with
@@ -116,6 +119,13 @@ class Automaton:
             else:
                 red.append(b)
 
+    def _keep_merged(self) -> None:
+        """Number the merged states anew and drop the rest of the tree, which executors would be sent."""
+        index = {r: i for i, r in enumerate(self.red)}
+        self.next = [{c: index[to] for c, to in self.next[r].items()} for r in self.red]
+        self.visits, self.ends, self.seen = ([x[r] for r in self.red] for x in (self.visits, self.ends, self.seen))
+        self.red = list(range(len(self.red)))
+
     def _fit(self, a: int, b: int) -> float:
         """Log likelihood of the strings below b under the automaton from a."""
         todo, total = [(a, b)], 0.0
@@ -210,26 +220,73 @@ class Scanner:
     """Base rules, automata and thresholds."""
 
     def __init__(self, benign: list[str], alpha: float = ALPHA):
-        held_out = labelled_credentials(HELD_OUT, seed=6)
+        self._learn_formats(alpha)
+        counts = Counter(benign)
+        self.set_pairs(self.count_pairs(counts))
+        self.raise_limits(self.largest(counts))
+
+    @classmethod
+    def over(cls, docs: DataFrame, text: str = "text", alpha: float = ALPHA) -> Scanner:
+        """The scanner whose ordinary strings are all those of docs."""
+        self = cls([], alpha)
+        texts = docs.select(F.col(text).alias("t"))
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: Counter = Counter()
+            for counts in _ordinary(batches):
+                total.update(self.count_pairs(counts))
+            rows = [(a, b, n) for (a, b), n in total.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["a", "b", "n"])
+
+        found = texts.mapInArrow(pairs, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+        self.set_pairs({(r.a, r.b): r.n for r in found})
+
+        def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[str, float] = {}
+            for counts in _ordinary(batches):
+                for k, score in self.largest(counts).items():
+                    best[k] = max(score, best.get(k, score))
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array(list(best.values()), pa.float64())], ["kind", "score"])
+
+        found = texts.mapInArrow(scores, "kind string, score double").groupBy("kind").agg(F.max("score").alias("score")).collect()
+        self.raise_limits({r.kind: r.score for r in found})
+        return self
+
+    def _learn_formats(self, alpha: float) -> None:
         self.automata = _inferred(alpha)
-        self.least = {k: min(map(a.mean, held_out[k])) - SLACK for k, a in self.automata.items()}
-        benign = [s for s in benign if len(s) < MIN_RUN or not self._holds_format(s)]
-        pairs: dict[str, Counter] = defaultdict(Counter)
-        for s in benign:
-            for a, b in zip("^" + s, s, strict=False):
-                pairs[a][b] += 1
-        self.pairs = {a: (dict(c), sum(c.values())) for a, c in pairs.items()}
-        self.limits = {}
-        odd = [s for s in benign if _mixed(s) or len(s) >= MIN_RUN]
-        for k, auto in self.automata.items():
-            self.limits[k] = max([min(self._score(auto, s) for s in held_out[k]), *(self._score(auto, s) + 0.25 for s in odd)])
+        self.held_out = labelled_credentials(HELD_OUT, seed=6)
+        self.least = {k: min(map(a.mean, self.held_out[k])) - SLACK for k, a in self.automata.items()}
         self.kinds = (*BASE_KINDS, *self.automata)
 
+    def count_pairs(self, strings: Counter) -> Counter:
+        """Character pairs of the strings that hold no format, as often as they occur."""
+        out: Counter = Counter()
+        for s, n in strings.items():
+            if not self._holds_format(s):
+                for pair in zip("^" + s, s, strict=False):
+                    out[pair] += n
+        return out
+
+    def set_pairs(self, counts: dict[tuple[str, str], int]) -> None:
+        pairs: dict[str, dict[str, int]] = defaultdict(dict)
+        for (a, b), n in counts.items():
+            pairs[a][b] = n
+        self.pairs = {a: (c, sum(c.values())) for a, c in pairs.items()}
+        self.limits = {k: min(self._score(auto, s) for s in self.held_out[k]) for k, auto in self.automata.items()}
+
+    def largest(self, strings: Counter) -> dict[str, float]:
+        """Each automaton's largest score among the strings that hold no format."""
+        odd = [s for s in strings if (_mixed(s) or len(s) >= MIN_RUN) and not self._holds_format(s)]
+        return {k: max(self._score(auto, s) for s in odd) for k, auto in self.automata.items()} if odd else {}
+
+    def raise_limits(self, scores: dict[str, float]) -> None:
+        self.limits = {k: max(limit, scores.get(k, -math.inf) + 0.25) for k, limit in self.limits.items()}
+
     def _formats(self, s: str) -> list[str]:
         return [k for k, a in self.automata.items() if a.mean(s) >= self.least[k]]
 
     def _holds_format(self, s: str) -> bool:
-        return bool(self._formats(s)) or any(True for k, a in self.automata.items() for _ in a.stretches(s, self.least[k]))
+        return len(s) >= MIN_RUN and (bool(self._formats(s)) or any(True for k, a in self.automata.items() for _ in a.stretches(s, self.least[k])))
 
     def _pair(self, a: str, b: str) -> float:
         seen, n = self.pairs.get(a, ({}, 0))
@@ -290,21 +347,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (x[1], BASE_KINDS.index(x[0])))
 
 
-def benign_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = BENIGN_DOCS) -> list[str]:
-    """Candidate-like strings outside base spans of about `limit` documents, drawn by hash (of texts of at most 20,000 characters)."""
-    rows = hash_sample(docs.select(doc_id, text), [doc_id, text], limit).where(F.length(text) <= 20_000).select(F.col(text).alias("t")).collect()
-    out = []
-    for row in rows:
-        taken = base_spans(row.t)
-        for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", row.t):
-            if not any(a < m.end() and m.start() < b for _, a, b in taken):
-                out.append(m[0])
-    return sorted(out)
-
-
-@lru_cache(maxsize=4)
-def _scanner(benign: tuple[str, ...]) -> Scanner:
-    return Scanner(list(benign))
+def _ordinary(batches: Iterator[pa.RecordBatch]) -> Iterator[Counter]:
+    """Candidate-like strings outside base spans and how often they occur, a slice of texts at a time."""
+    for batch in batches:
+        for i, j in slices(utf8(batch.column(0))[1]):
+            counts: Counter = Counter()
+            for text in filter(None, batch.column(0).slice(i, j - i).to_pylist()):
+                taken = base_spans(text)
+                if not taken:
+                    counts.update(ORDINARY.findall(text))
+                    continue
+                ends = list(itertools.accumulate((b for _, _, b in taken), max))
+                for m in ORDINARY.finditer(text):
+                    at = bisect.bisect_left(taken, m.end(), key=lambda x: x[1])  # base spans that start before the string ends
+                    if not at or ends[at - 1] <= m.start():
+                        counts[m[0]] += 1
+            yield counts
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
@@ -313,7 +371,7 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 def scan(docs: DataFrame, scanner: Scanner | None = None, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, redact_with: str | None = None) -> DataFrame:
     """docs (or only its columns `keep`) with `secrets`, an array of spans; with redact_with, `text` has each
     stretch of overlapping spans replaced by it."""
-    scanner = scanner or _scanner(tuple(benign_sample(docs, doc_id, text)))
+    scanner = scanner or Scanner.over(docs, text)
     kept = [f for f in docs.schema.fields if keep is None or f.name in keep]
     name = spare_name(docs, "secrets")
     schema = T.StructType([*kept, T.StructField(name, SPANS)])

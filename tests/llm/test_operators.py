@@ -306,6 +306,19 @@ def test_secrets_inside_runs():
     assert not [k for k, *_ in scanner.spans("x=" + blob) if k in ("forge_token", "payment_key")]
 
 
+def test_secrets_learn_from_all_texts(spark):
+    """Neither the number of documents nor the length of a text leaves a string out of the character model and the limits."""
+    many = [f"plain words number{i % 7}" for i in range(2500)]
+    odd = "Zq7-Zq8-Zq9_Xw1.Xw2"
+    texts = [*many, None, "", "filler " * 4000 + odd, "token = abcdefgh12345678"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = secrets.Scanner.over(docs)
+    words = [w for t in texts[:-1] for w in re.findall(r"[A-Za-z0-9+/_.=-]{6,}", t or "")]
+    expected = secrets.Scanner(words)
+    assert got.pairs["Z"] == ({"q": 3}, 3) and got.pairs == expected.pairs
+    assert got.limits == pytest.approx(expected.limits)
+
+
 def test_sharding(docs, nothing):
     names = [f"s{i}" for i in range(7)]
     table = sharding.fill(names, 1009)
