@@ -70,6 +70,12 @@ def fit(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
         n = min(int(count[i] - take[i]), (left - DP_WORDS // 2) // int(length[i])) if length[i] else 0
         take[i] += max(n, 0)
         left -= max(n, 0) * int(length[i])
+    for i in np.argsort(-length, kind="stable"):  # still out of range: take what fits, so that the cap leaves nothing out that does
+        if left <= DP_WORDS:
+            break
+        n = min(int(count[i] - take[i]), left // int(length[i]), -((DP_WORDS - left) // int(length[i]))) if length[i] else 0
+        take[i] += n
+        left -= n * int(length[i])
     return take + _knapsack(length, count - take, min(left, DP_WORDS))
 
 

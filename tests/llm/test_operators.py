@@ -223,6 +223,20 @@ def test_mixing_buckets_and_knapsack(spark, monkeypatch):
         assert (take <= count).all() and (take * length).sum() == max(r for r in reach if r <= budget)
 
 
+def test_mixing_few_long_texts():
+    length = np.array([200_000, 210_000, 220_000, 230_000, 240_000])
+    assert (mixing.fit(length, np.ones(5, int), 900_000) * length).sum() == 900_000
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        length = np.unique(rng.integers(1, 400_000, 6))
+        count = rng.integers(1, 4, len(length))
+        budget = int(rng.integers(1, (length * count).sum()))
+        take = mixing.fit(length, count, budget)
+        left = budget - int((take * length).sum())
+        assert left >= 0 and (0 <= take).all() and (take <= count).all()
+        assert not (length[take < count] <= left).any(), "a text that fits was left out"
+
+
 def test_edits(docs, nothing):
     e = queries.edit_script(docs).withColumn("edits", F.concat("edits", F.expr("array(null, named_struct('start', 99999999L, 'stop', 5L, 'text', 'tail'))"), F.col("edits")))
     t = library()
