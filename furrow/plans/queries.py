@@ -376,7 +376,7 @@ def geometric_metrics(spark, d):
 def sensitivity(spark, d):
     w, _ = metric_inputs(spark, d)
     files = w.select((F.col("ord") % 3).alias("file"), "ord", "geom")
-    return evaluate.sensitivity(files, [0.0, 0.25, 0.5], [2, 4, 8])
+    return evaluate.sensitivity(files, [x / 100 for x in range(51)], [2, 4, 8])
 
 
 @query()

@@ -36,6 +36,11 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_sensitivity_sweeps_all_configurations(spark):
+    rows = QUERIES["sensitivity"](spark, SF).select("rho_min", "max_depth").collect()
+    assert sorted(map(tuple, rows)) == [(x / 100, d) for x in range(51) for d in (2, 4, 8)]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
