@@ -135,21 +135,25 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix(out ^ ((end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
 
 
+def runs(flag: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte starts and ends of the maximal runs of set flags within the rows that offsets delimit (flag[0]: the first row's first byte)."""
+    lo, cut = int(offsets[0]), np.zeros(len(flag) + 1, bool)
+    cut[offsets - lo] = True
+    first = flag.copy()
+    first[1:] &= ~flag[:-1] | cut[1:-1]
+    last = flag.copy()
+    last[:-1] &= ~flag[1:] | cut[1:-1]
+    return np.flatnonzero(first) + lo, np.flatnonzero(last) + lo + 1
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts, byte ends and row numbers of all words of the rows that offsets delimit."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     if hi == lo:
         none = np.empty(0, np.int64)
         return none, none, none
-    solid = ~_WS[data[lo:hi]]
-    cut = np.zeros(hi - lo + 1, bool)
-    cut[offsets - lo] = True
-    first = solid.copy()
-    first[1:] &= ~solid[:-1] | cut[1:-1]
-    last = solid.copy()
-    last[:-1] &= ~solid[1:] | cut[1:-1]
-    start = np.flatnonzero(first) + lo
-    return start, np.flatnonzero(last) + lo + 1, np.searchsorted(offsets, start, "right") - 1
+    start, end = runs(~_WS[data[lo:hi]], offsets)
+    return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
 def windows(word: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -69,6 +69,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As the contract has it, and formats: the automaton that explains each span best, in the spans' order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.scan(docs, keep=["doc_id"])
     base = F.filter("secrets", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
@@ -80,7 +81,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     counts = [number(k) for k in secrets.BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(spell(base), 256).alias("base_sha256"), spell(F.col("secrets")).alias("spans"))
+    formats = F.array_join(F.transform("secrets", lambda s: s["format"]), ",")
+    return found.select("doc_id", *counts, F.sha2(spell(base), 256).alias("base_sha256"), spell(F.col("secrets")).alias("spans"), formats.alias("formats"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
