@@ -7,6 +7,9 @@ task follows the slice and the longest single text, not the batch.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,10 +31,13 @@ _POWERS: list[np.ndarray] = []
 
 # ---------------------------------------------------------------- scratch tables
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the session names none."""
+    """The cluster's shared folder; a temporary one of our own only on a single machine whose session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="furrow-scratch-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -57,6 +63,22 @@ def spare_name(df: DataFrame, base: str) -> str:
     return base
 
 
+HEAVY = 1000
+
+
+def join_back(rows: DataFrame, result: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of rows with one result row per key, where `weight` says how many rows have the key and total how many there are.
+
+    A key with a thousandth of all rows or more is broadcast (there are at most HEAVY of them, whatever
+    the size), so rows that share it stay where they are; the others are shuffled.
+    """
+    result = written(result, "result")
+    heavy = F.broadcast(result.where(F.col(weight) * HEAVY >= total))
+    light = rows.join(heavy.select(*keys), keys, "left_anti").join(result.where(F.col(weight) * HEAVY < total).hint("merge"), keys)
+    hot = rows.join(heavy, keys)
+    return hot.unionByName(light)
+
+
 def hash_sample(df: DataFrame, keys: list[str], size: int) -> DataFrame:
     """About `size` rows (all, if there are fewer): those whose hash falls into the share size / count.
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import hash_sample, written
+from furrow.llm.common import hash_sample, join_back, written
 from furrow.llm.graph import components
 
 THRESHOLD = 0.98
@@ -187,7 +187,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
         edges = edges.union(tied.select("vec_id", "rep"))
     roots = written(components(edges), "roots").select(F.col("node").alias("rep"), "root")
     result = reps.select(*key, F.col("vec_id").alias("rep"), "weight").join(links, key, "left").join(roots, "rep", "left")
-    result = result.select(*key, (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    result = result.select(*key, "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     alone = rows.where("k1 is null").select(F.col("vec_id").alias("rep")).join(roots, "rep", "left").select(F.col("rep").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    out = can.select("vec_id", *key).join(result, key).select("vec_id", "n_links", "component_id").union(alone)
+    total = reps.agg(F.sum("weight")).first()[0] or 0
+    out = join_back(can.select("vec_id", *key), result, key, "weight", total).select("vec_id", "n_links", "component_id").union(alone)
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))

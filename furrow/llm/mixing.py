@@ -14,7 +14,7 @@ buckets are taken or left by their counts, and only the documents of one boundar
 So neither a hot source nor a length that a third of all rows share meets in one task.
 
 Null text has size 0 and is never taken; a source without words has target 0.  Rows with equal
-(doc_id, text) are told apart only by their rank among each other.
+(doc_id, text) are told apart only by their rank among each other; a null doc_id is an id like others.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def row_hash(seed: int, doc_id: str, text: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`"))
+
+
 def targets(sizes: DataFrame, source: str = "source", size: str = "size") -> DataFrame:
     """(source, source_size, target), one row per source.
 
@@ -108,8 +112,8 @@ def _knapsack(length: np.ndarray, count: np.ndarray, budget: int) -> np.ndarray:
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str = "doc_id", seed: int = 17) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies): how often each document goes into the mix."""
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).alias("h"))
+    """(doc_id, h, size, source_size, target, taken, copies): how often each document goes into the mix; h is row_hash()."""
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), row_hash(seed, doc_id, text).alias("h"))
     d = written(d, "sizes")
     lengths = d.groupBy("source", "size").agg(F.count("*").alias("n"))
     goal = targets(lengths.select("source", (F.col("n") * F.col("size")).alias("size"))).withColumnRenamed("source", "g_source")
@@ -138,20 +142,23 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", doc_id: str
     y = x.where(open_).join(sums, same)
     border = (F.col("quota") > 0) & (F.col("quota") < F.col("m"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy("h", "doc_id"))
-    out = ["doc_id", "size", "source_size", "target", "whole"]
+    out = ["doc_id", "h", "size", "source_size", "target", "whole"]
     parts = [
         x.where(~open_).select(*out, (F.col("extra") > 0).cast("int").alias("one")),
         y.where(~border).select(*out, (F.col("quota") > 0).cast("int").alias("one")),
         y.where(border).withColumn("r", rank).select(*out, (F.col("r") <= F.col("quota")).cast("int").alias("one")),
     ]
     copies = (F.col("whole") + F.col("one")).cast("int")
-    return parts[0].union(parts[1]).union(parts[2]).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"))
+    return parts[0].union(parts[1]).union(parts[2]).select("doc_id", "h", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"))
 
 
-def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of docs as often as the mix takes them.  Null doc_ids cannot be addressed and are left out;
-    rows that share a doc_id are taken as often as the first of them."""
-    copies = mix(docs, seed=seed).where("copies > 0 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("n"))
-    n = spare_name(docs, "n")
-    again = docs.join(copies.withColumnRenamed("n", n), "doc_id")
-    return again.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+def mixed(docs: DataFrame, seed: int = 17, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns, as often as the mix takes them.
+
+    A row is named by its doc_id (null is an id as any other) and text; rows that agree in both are
+    taken as often as the one of them that is taken most.
+    """
+    h, n, d = (spare_name(docs, x) for x in ("h", "n", "d"))
+    copies = mix(docs, source, text, doc_id, seed).where("copies > 0").groupBy(F.col("h").alias(h), F.col("doc_id").alias(d)).agg(F.max("copies").alias(n))
+    again = docs.withColumn(h, row_hash(seed, doc_id, text)).join(copies, h).where(F.col(f"`{doc_id}`").eqNullSafe(F.col(d)))
+    return again.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns])

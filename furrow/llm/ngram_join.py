@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import hash_spans, mix, shingles, slices, utf8, word_spans, written
+from furrow.llm.common import hash_spans, join_back, mix, shingles, slices, utf8, word_spans, written
 from furrow.llm.graph import components
 
 N, THRESHOLD, RECALL, MAX_BANDS = 5, 0.8, 0.9998, 20
@@ -237,7 +237,10 @@ def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: floa
         again = components(found.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("doc_id"), F.col("root").alias("joined"))
         links = links.join(again, "doc_id", "left").select("set_key", "links", F.least("root", F.coalesce("joined", "root")).alias("root"))
     result = reps.select("set_key", "rep", "weight").join(links.select("set_key", "links", "root"), "set_key", "left")
-    result = result.select("set_key", "rep", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("root", "rep").alias("root"))
-    out = sketch.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(result, "set_key", "left")
-    kept = F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True))
-    return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"), F.coalesce("rep", "doc_id").alias("set_id"))
+    result = result.select("set_key", "rep", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("root", "rep").alias("root"))
+    total = reps.agg(F.sum("weight")).first()[0] or 0
+    texts = join_back(named.select("doc_id", "set_key"), result, ["set_key"], "weight", total).select("doc_id", "root", "n", "rep")
+    alone = sketch.where("doc_id is null or set_key is null").select("doc_id", F.col("doc_id").alias("root"), F.lit(0).alias("n"), F.col("doc_id").alias("rep"))
+    out = texts.union(alone)
+    kept = F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True))
+    return out.select("doc_id", F.col("root").alias("class_id"), F.col("n").cast("long").alias("n_links"), kept.alias("kept"), F.col("rep").alias("set_id"))

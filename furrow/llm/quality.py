@@ -10,7 +10,8 @@ than RISK of its good documents to all rates together.  Among admissible cutoffs
 most labelled bad less good documents above it is taken, the highest of equals, and none if that
 difference is not above 0.  A stratum with too few labels rejects nothing beyond the base rule.
 
-Null text has no words.  A document without words fails the base rule and has rates of 0.
+Null text has no words.  A document without words fails the base rule and has rates of 0.  Repeated
+rows and ids are judged row by row; without labels (or with too few) only the base rule rejects.
 Labels: of repeated doc_ids the lowest quality counts; null ids and qualities are ignored.
 """
 
@@ -22,7 +23,7 @@ from math import lgamma, log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,17 +151,45 @@ def thresholds(measured: DataFrame, labels: DataFrame, stratum: str, risk: float
     return counts.mapInPandas(choose, f"stratum string, n_good long, {cutoffs}")
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """doc_id, COUNTS, base_failed, kept, stratum and rejected_by (names of the rates above their cutoffs)."""
-    d = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"))
-    m = features(d, keep=["doc_id", "stratum"])
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    m = written(m.withColumn("base_failed", failed), "quality")
-    rate = {r: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)).alias(r) for r, (a, b, _) in RATES.items()}
-    m = m.select("*", *rate.values())
-    cut = written(thresholds(m, labels, "stratum", risk, delta), "cutoffs").withColumnRenamed("stratum", "s")
-    m = m.join(cut, F.col("stratum").eqNullSafe(F.col("s")), "left")
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def _rates() -> list[Column]:
+    return [F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)).alias(r) for r, (a, b, _) in RATES.items()]
+
+
+def _cutoffs(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
+    """The cutoffs as a table of one row per stratum, for measured documents (doc_id, stratum, COUNTS, base_failed)."""
+    return written(thresholds(measured.select("*", *_rates()), labels, "stratum", risk, delta), "cutoffs").withColumnRenamed("stratum", "s")
+
+
+def _judged(measured: DataFrame, cut: DataFrame) -> DataFrame:
+    """measured with rejected_by and kept."""
+    m = measured.select("*", *_rates()).join(cut, F.col("stratum").eqNullSafe(F.col("s")), "left")
     rejected = F.filter(F.array(*[F.when(F.col(r) > F.col(f"{r}_cutoff"), F.lit(r)) for r in RATES]), lambda x: x.isNotNull())
-    m = m.withColumn("rejected_by", rejected)
-    kept = ~F.col("base_failed") & (F.size("rejected_by") == 0)
-    return m.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "stratum", "rejected_by")
+    return m.withColumn("rejected_by", rejected).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
+
+
+def _measured(docs: DataFrame, stratum: str, text: str) -> DataFrame:
+    d = docs.select("doc_id", F.col(stratum).cast("string").alias("stratum"), F.col(text).alias("text"))
+    return written(features(d, keep=["doc_id", "stratum"]).withColumn("base_failed", _base_failed()), "quality")
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """doc_id, COUNTS, base_failed, kept, stratum and rejected_by (names of the rates above their cutoffs): a row for each row of docs."""
+    m = _measured(docs, stratum, text)
+    return _judged(m, _cutoffs(m, labels, risk, delta)).select("doc_id", *COUNTS, "base_failed", "kept", "stratum", "rejected_by")
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of docs, all columns, that verdicts() keeps.
+
+    Cutoffs are learned in a first pass; a second one measures again and decides row by row, so texts
+    are never shuffled and rows with null or repeated doc_ids have verdicts of their own.
+    """
+    cut = _cutoffs(_measured(docs, stratum, text), labels, risk, delta)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns of docs are called, none clashes
+    own = dict(zip(docs.columns, names, strict=True))
+    x = features(docs.toDF(*names), own[text]).withColumns({"base_failed": _base_failed(), "stratum": F.col(own[stratum]).cast("string")})
+    return _judged(x, cut).where("kept").select(*names).toDF(*docs.columns)
