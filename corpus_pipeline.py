@@ -1,7 +1,7 @@
 """Corpus pipeline: quality rules, near duplicates, secrets, source mix, token ids.
 
-Every stage takes (spark, docs, sf_dir), works on all documents that the one before it kept, and
-returns documents with the columns of the table; the last returns token digests.  The runner writes
+Every stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns
+rows with the columns that it was given, extra ones included; the last returns token digests.  The runner writes
 each stage as Parquet and reads it back.
 """
 
@@ -9,45 +9,47 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from furrow.llm import bpe, mixing, ngram_join, quality, secrets
-from furrow.llm.common import scratch_dir, table
+from furrow.llm.common import scratch_dir, spare_name, table
 from furrow.llm.queries import token_digests
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep.  Rows with a null doc_id go: no later decision could name them.
-
-    Rows that share a doc_id stay if all of them are kept.
-    """
-    verdict = quality.verdicts(docs, table(spark, sf_dir, "labels"))
-    kept = verdict.where("doc_id is not null").groupBy("doc_id").agg(F.every("kept").alias("all_kept")).where("all_kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """The rows that the rules keep, judged one by one: a null text goes, a null or repeated doc_id does not matter."""
+    return quality.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates (five words, 0.8): that with the smallest doc_id; repeated rows once."""
-    kept = ngram_join.join(docs).where("kept")
-    return docs.join(kept.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each class of near duplicates (five words, 0.8): that with the smallest doc_id.
+
+    Rows that share a doc_id are texts of one document and stay together, but of rows that share doc_id
+    and text only the first by their other columns stays.  A row without doc_id goes by its text, after
+    all that have one, and keeps its null.
+    """
+    key, nth = spare_name(docs, "key"), spare_name(docs, "nth")
+    late = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 62))
+    named = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), late))
+    kept = ngram_join.join(named, doc_id=key).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    others = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")]
+    first = F.row_number().over(Window.partitionBy(key, "text").orderBy(*others, "doc_id"))
+    return named.join(kept, key, "left_semi").withColumn(nth, first).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by [SECRET]; n_chars follows the text."""
-    clean = secrets.scan(docs.select(*COLUMNS), redact_with="[SECRET]")
-    return clean.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    """All rows, each secret in their text replaced by [SECRET]; n_chars follows the text, a null text stays null."""
+    clean = secrets.scan(docs, redact_with="[SECRET]")
+    return clean.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.mixed(docs.select(*COLUMNS))
+    """Rows as often as the mix takes them (null and wordless texts: never); null doc_ids and sources count as any other."""
+    return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document of the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of the mix; a null text is the empty text."""
     return token_digests(bpe.encode(docs.select("doc_id", "text"), decoded="decoded", drop_text=True))
 
 
