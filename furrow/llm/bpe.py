@@ -245,6 +245,8 @@ class TextEncoder:
 
     def chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each) of texts without line breaks."""
+        if not texts:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         joined = "\n".join(texts)
         if self._special.search(joined) or (not joined.isascii() and _NEWER.search(joined)):
             tokens = []
@@ -265,20 +267,28 @@ class TextEncoder:
         total = np.r_[0, np.cumsum(count)]
         return ids, np.diff(np.r_[0, total[end]])
 
-    def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all rows, number of ids of each row) of the rows that offsets delimit."""
+    def _chunks_of(self, data: np.ndarray, offsets: np.ndarray):
+        """(start, row and place in the list of distinct chunks of each word; ids and number of ids of the distinct chunks)."""
         start, end, row = word_spans(data, offsets)
-        if not len(start):
-            return np.empty(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         code, _ = pd.factorize(hash_spans(data, start, end))
-        first = np.full(code.max() + 1, -1, np.int64)
+        first = np.full(code.max() + 1 if len(code) else 0, -1, np.int64)
         first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
         lo = int(offsets[0])
         raw = data[lo : int(offsets[-1])].tobytes()
         ids, count = self.chunks([raw[a:b].decode() for a, b in zip((start[first] - lo).tolist(), (end[first] - lo).tolist(), strict=True)])
+        return start, row, code, ids, count
+
+    def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, number of ids of each row) of the rows that offsets delimit."""
+        _, row, code, ids, count = self._chunks_of(data, offsets)
         begin, each = np.cumsum(count) - count, count[code]
         return ragged_take(ids, begin[code], each), np.bincount(row, weights=each, minlength=len(offsets) - 1).astype(np.int64)
 
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(byte start, number of ids) of each word of the rows that offsets delimit."""
+        start, _, code, _, count = self._chunks_of(data, offsets)
+        return start, count[code]
+
 
 def _normal(text: str) -> str:
     if text.isascii():

@@ -1,18 +1,24 @@
 """Operator 7: token counts that follow edits.
 
-A document is a segment tree over its pre-token segments.  A leaf holds a white-space-delimited
-piece of text with the white space after it (so every pre-token lies in one leaf), its number of
-characters and its number of tokens; an inner node holds the sums of its subtree.  An edit replaces
-characters [start, stop) by a text: the leaves it touches are found by descending on character
-sums; their text, with the boundary context that the change can reach (the rest of the touched
-leaves, and following leaves as long as no white space ends the region), is encoded again; and the
-sums on the paths to the root are updated.  Tokens never span white space, so the root's count
-equals that of encoding the whole edited text.
+Every document has a segment tree over its pre-token segments, kept as a table: `build()` encodes the
+texts once and returns them with the trees' leaves, `apply_edits()` takes rows of that table with
+edits and returns them with texts, leaves and counts brought up to date, so its result is the table
+for the next edits.  No text is encoded again but for the regions that edits touch.
+
+A leaf is a white-space-delimited piece with the white space after it (so every pre-token lies in one
+leaf; white space at the start of a text is a leaf too), held as its number of characters and of
+tokens; inner nodes are the sums of their subtrees and are added up from the leaves when a tree is
+loaded.  An edit replaces characters [start, stop) by a text: the leaves that it touches are found by
+descending on character sums; their text after the edit, with the boundary context that the change
+can reach (the rest of the touched leaves, and following leaves as long as no white space ends the
+region), is encoded again; and the sums on the paths to the root are updated.  Tokens never span
+white space, so the root's count equals that of encoding the whole edited text.
 
 Edits of a document apply in the order of its array, each to the text that the one before left.
 Positions are code points and are clamped to the text; start > stop counts as start = stop; a null
-edit is skipped, null positions are 0, null replacements are empty; null text is the empty text.
-Everything is map-only; a task holds one slice of texts and one document's tree.
+edit is skipped, null positions are 0, null replacements are empty, null edits are none; null text is
+the empty text.  Rows with repeated or null ids are documents of their own.  Everything is map-only:
+a task holds one slice of texts and their trees.
 """
 
 from __future__ import annotations
@@ -21,149 +27,193 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from furrow.llm.bpe import TEXT_SLICE, default_path
+from furrow.llm.bpe import TEXT_SLICE, default_path, list_array
 from furrow.llm.common import slices, spare_name, utf8
 from furrow.llm.library_tokens import encoder
 
 _LEAF = regex.compile(r"[^ \t-\r]*[ \t-\r]+|[^ \t-\r]+")
 _BLANK = frozenset(" \t\n\v\f\r")
-_REBUILD_CHARS = 4096
+_RESPLIT_CHARS = 4096
+LEAVES = ("leaf_chars", "leaf_tokens")
+COUNTS = ("n_tokens_before", "n_tokens", "n_chars_after", "n_chars_encoded")
+Count = Callable[[list[str]], np.ndarray]
 
 
 class TokenTree:
     """Segment tree of one document; `count` gives the token counts of a list of texts."""
 
-    def __init__(self, leaves: list[str], tokens: np.ndarray, count: Callable[[list[str]], np.ndarray]):
-        self.count, self.encoded_chars = count, 0
-        self._build(leaves, tokens)
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray, count: Count):
+        self.text, self.count, self.encoded_chars = text, count, 0
+        self._build(chars, tokens)
 
     @classmethod
-    def of(cls, text: str, count: Callable[[list[str]], np.ndarray]) -> TokenTree:
+    def of(cls, text: str, count: Count) -> TokenTree:
         leaves = _LEAF.findall(text)
-        return cls(leaves, count(leaves), count)
+        return cls(text, np.array([len(x) for x in leaves], np.int64), count(leaves), count)
 
-    def _build(self, leaves: list[str], tokens: np.ndarray) -> None:
-        self.leaves = leaves
-        self.size = 1 << max(len(leaves) - 1, 0).bit_length()
+    def _build(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+        self.n = max(len(chars), 1)
+        self.size = 1 << (self.n - 1).bit_length()
         self.sums = np.zeros((2 * self.size, 2), np.int64)  # of node i: characters, tokens; children 2i, 2i+1
-        self.sums[self.size : self.size + len(leaves), 0] = [len(x) for x in leaves]
-        self.sums[self.size : self.size + len(leaves), 1] = tokens
+        self.sums[self.size : self.size + len(chars), 0] = chars
+        self.sums[self.size : self.size + len(chars), 1] = tokens
         at = self.size
         while at > 1:
             self.sums[at // 2 : at] = self.sums[at : 2 * at].reshape(at // 2, 2, 2).sum(1)
             at //= 2
 
-    @property
-    def chars(self) -> int:
-        return int(self.sums[1, 0])
-
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 1])
 
-    def text(self) -> str:
-        return "".join(self.leaves)
+    def leaves(self) -> np.ndarray:
+        """(characters, tokens) of the leaves that have text."""
+        own = self.sums[self.size : self.size + self.n]
+        return own[own[:, 0] > 0]
 
     def find(self, at: int) -> tuple[int, int]:
-        """(leaf that holds character `at`, offset in it)."""
-        node = 1
+        """(leaf that holds character `at`, where it begins)."""
+        node, begin, sums = 1, 0, self.sums
         while node < self.size:
-            left = int(self.sums[2 * node, 0])
-            node, at = (2 * node, at) if at < left else (2 * node + 1, at - left)
-        return node - self.size, at
-
-    def _set(self, leaf: int, text: str, tokens: int) -> None:
-        self.leaves[leaf] = text
+            left = int(sums[2 * node, 0])
+            if at - begin < left:
+                node = 2 * node
+            else:
+                node, begin = 2 * node + 1, begin + left
+        return node - self.size, begin
+
+    def _set(self, leaf: int, chars: int, tokens: int) -> None:
         node = leaf + self.size
-        change = np.array([len(text), tokens]) - self.sums[node]
+        change = np.array([chars, tokens]) - self.sums[node]
         while node:
             self.sums[node] += change
             node //= 2
 
-    def plan(self, start: int, stop: int, new: str) -> tuple[int, int, str] | None:
-        """(first leaf, last leaf, their text after the edit), None if nothing changes."""
-        start = min(max(start, 0), self.chars)
-        stop = min(max(stop, start), self.chars)
+    def plan(self, start: int, stop: int, new: str) -> tuple[int, int, int, int, str] | None:
+        """(first leaf, last leaf, first character, character after the last, their text after the edit), None if nothing changes."""
+        n = len(self.text)
+        start = min(max(start, 0), n)
+        stop = min(max(stop, start), n)
         if start == stop and not new:
             return None
-        if not self.leaves:
-            self._build([""], np.zeros(1, np.int64))
-        first, begin = self.find(start) if start < self.chars else self._end()
-        last, end = (first, begin) if stop == start else self.find(stop - 1)
-        end += stop > start
-        region = self.leaves[first][:begin] + new + self.leaves[last][end:]
-        while region and region[-1] not in _BLANK and last + 1 < len(self.leaves):
-            last += 1
-            region += self.leaves[last]
-        return first, last, region
-
-    def apply(self, plan: tuple[int, int, str], tokens: int) -> None:
+        if not n:
+            return 0, 0, 0, 0, new
+        first, begin = self.find(min(start, n - 1))  # an appended word joins an unfinished one
+        last, end = self.find(max(min(stop, n) - 1, start)) if stop > start else (first, begin)
+        end += int(self.sums[last + self.size, 0])
+        region = self.text[begin:start] + new + self.text[stop:end]
+        while region and region[-1] not in _BLANK and end < n:
+            last, _ = self.find(end)
+            size = int(self.sums[last + self.size, 0])
+            region += self.text[end : end + size]
+            end += size
+        return first, last, begin, end, region
+
+    def apply(self, plan: tuple[int, int, int, int, str], tokens: int) -> None:
         """Carry out a plan whose text has that many tokens."""
-        first, last, region = plan
+        first, last, begin, end, region = plan
         self.encoded_chars += len(region)
-        self._set(first, region, tokens)
+        self.text = self.text[:begin] + region + self.text[end:]
+        self._set(first, len(region), tokens)
         for leaf in range(first + 1, last + 1):
-            self._set(leaf, "", 0)
-        if len(region) > _REBUILD_CHARS:
-            parts = [_LEAF.findall(x) if len(x) > _REBUILD_CHARS else [x] for x in self.leaves]
-            counts = [self.count(p) if len(p) > 1 else [n] for p, n in zip(parts, self.sums[self.size :, 1].tolist(), strict=False)]
-            self._build([x for p in parts for x in p], np.concatenate(counts))
+            self._set(leaf, 0, 0)
+        if len(region) > _RESPLIT_CHARS:  # so that later edits of a long insertion find small leaves
+            parts = _LEAF.findall(region)
+            own = self.sums[self.size : self.size + self.n]
+            inside = np.stack([[len(x) for x in parts], self.count(parts)], axis=1)
+            self._build(*np.concatenate([own[:first], inside, own[last + 1 :]]).T)
 
     def edit(self, start: int, stop: int, new: str) -> None:
         if (plan := self.plan(start, stop, new)) is not None:
-            self.apply(plan, int(self.count([plan[2]])[0]))
+            self.apply(plan, int(self.count([plan[4]])[0]))
 
-    def _end(self) -> tuple[int, int]:
-        """The end of the last leaf that has text, so that an appended word joins an unfinished one."""
-        if not self.chars:
-            return 0, 0
-        leaf, at = self.find(self.chars - 1)
-        return leaf, at + 1
 
+def _counter(path: str) -> Count:
+    own = encoder(path)
 
-def count_edits(docs: DataFrame, path: str | None = None, text: str = "text", edits: str = "edits", with_text: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """docs (or only its columns `keep`) with n_tokens_before, n_tokens (after all edits), n_chars_after,
-    n_chars_encoded (characters encoded again for the edits) and, if asked for, edited_text.
+    def count(texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0, np.int64)
+        return own.slice(*utf8(pa.array(texts, pa.large_string())))[1]
 
-    `edits` is array<struct<start: int or long, stop: int or long, text: string>>.
-    """
+    return count
+
+
+def build(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
+    """docs with leaf_chars and leaf_tokens (array<int>): the segment tree of each text.  Clashing names get underscores."""
     path = path or default_path()
-    kept = [f for f in docs.schema.fields if keep is None or f.name in keep]
-    base = ["n_tokens_before", "n_tokens", "n_chars_after", "n_chars_encoded"] + ["edited_text"] * with_text
-    added = [spare_name(docs, n) for n in base]
-    schema = T.StructType(kept + [T.StructField(n, T.StringType() if b == "edited_text" else T.LongType()) for n, b in zip(added, base, strict=True)])
-    names = [f.name for f in kept]
+    names = [spare_name(docs, n) for n in LEAVES]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-
-        def count(texts: list[str]) -> np.ndarray:
-            if not texts:
-                return np.zeros(0, np.int64)
-            data, offsets = utf8(pa.array(texts, pa.large_string()))
-            return own.slice(data, offsets)[1]
-
         for batch in batches:
             data, offsets = utf8(batch.column(text))
             for i, j in slices(offsets, TEXT_SLICE):
-                texts = ["" if x is None else x for x in batch.column(text).slice(i, j - i).to_pylist()]
-                leaves = [_LEAF.findall(x) for x in texts]
-                tokens = count([x for each in leaves for x in each])
-                ends = np.cumsum([len(x) for x in leaves])
-                trees = [TokenTree(x, tokens[e - len(x) : e], count) for x, e in zip(leaves, ends.tolist(), strict=True)]
-                before = [t.tokens for t in trees]
-                queues = [[e for e in changes or [] if e is not None] for changes in batch.column(edits).slice(i, j - i).to_pylist()]
-                for nth in range(max(map(len, queues), default=0)):  # the nth edits of all documents are encoded together
-                    due = [(t, t.plan(q[nth]["start"] or 0, q[nth]["stop"] or 0, q[nth]["text"] or "")) for t, q in zip(trees, queues, strict=True) if len(q) > nth]
-                    due = [(t, p) for t, p in due if p is not None]
-                    for (t, p), n in zip(due, count([p[2] for _, p in due]).tolist(), strict=True):
-                        t.apply(p, n)
-                rows = [(b, t.tokens, t.chars, t.encoded_chars, *[t.text()] * with_text) for b, t in zip(before, trees, strict=True)]
-                new = [pa.array(c, pa.string() if b == "edited_text" else pa.int64()) for c, b in zip(zip(*rows, strict=True), base, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(n).slice(i, j - i) for n in names] + new, schema.names)
+                per_row, chars, tokens = leaves_of(own, data, offsets[i : j + 1])
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, list_array(chars, per_row), list_array(tokens, per_row)], schema.names)
 
     return docs.mapInArrow(run, schema)
+
+
+def leaves_of(own, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of leaves of each row, characters and tokens of all leaves) of the rows that offsets delimit."""
+    lo, hi = int(offsets[0]), int(offsets[-1])
+    start, each = own.words(data, offsets)
+    rows = offsets[:-1][np.diff(offsets) > 0]
+    at = np.union1d(rows, start)
+    tokens = np.zeros(len(at), np.int64)
+    tokens[np.searchsorted(at, start)] = each
+    points = np.r_[0, np.cumsum((data[lo:hi] & 0xC0) != 0x80)]
+    chars = np.diff(points[np.r_[at, hi] - lo]) if len(at) else np.empty(0, np.int64)
+    return np.bincount(np.searchsorted(offsets, at, "right") - 1, minlength=len(offsets) - 1), chars, tokens
+
+
+def apply_edits(trees: DataFrame, path: str | None = None, text: str = "text", edits: str = "edits", leaves: tuple[str, str] = LEAVES, keep: list[str] | None = None) -> DataFrame:
+    """Rows of build()'s table with their edits carried out, and COUNTS: tokens before and after, characters after,
+    and characters encoded again.
+
+    `edits` is array<struct<start: int or long, stop: int or long, text: string>>.  keep: only these
+    columns and COUNTS; else all, with text and leaves as the edits leave them.  Clashing names get underscores.
+    """
+    path = path or default_path()
+    kept = [f for f in trees.schema.fields if keep is None or f.name in keep]
+    added = [spare_name(trees, n) for n in COUNTS]
+    schema = T.StructType(kept + [T.StructField(n, T.LongType()) for n in added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _counter(path)
+        for batch in batches:
+            for i, j in slices(utf8(batch.column(text))[1], TEXT_SLICE):
+                yield one(batch.slice(i, j - i), count)
+
+    def one(part: pa.RecordBatch, count: Count) -> pa.RecordBatch:
+        texts = ["" if x is None else x for x in part.column(text).to_pylist()]
+        flat = [np.asarray(pc.list_flatten(part.column(c)), np.int64) for c in leaves]
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(part.column(leaves[0])), 0), np.int64)).tolist()
+        trees_ = [TokenTree(x, flat[0][a:b], flat[1][a:b], count) for x, a, b in zip(texts, [0, *ends], ends, strict=False)]
+        before = [t.tokens for t in trees_]
+        queues = [[e for e in changes or [] if e is not None] for changes in part.column(edits).to_pylist()]
+        for nth in range(max(map(len, queues), default=0)):  # the nth edits of all documents are encoded together
+            due = [(t, t.plan(q[nth]["start"] or 0, q[nth]["stop"] or 0, q[nth]["text"] or "")) for t, q in zip(trees_, queues, strict=True) if len(q) > nth]
+            due = [(t, p) for t, p in due if p is not None]
+            for (t, p), n in zip(due, count([p[4] for _, p in due]).tolist(), strict=True):
+                t.apply(p, n)
+        columns = []
+        for f in kept:
+            if f.name == text:
+                columns.append(pa.array([t.text for t in trees_], pa.string()))
+            elif f.name in leaves:
+                own = [t.leaves()[:, leaves.index(f.name)] for t in trees_]
+                columns.append(list_array(np.concatenate([*own, np.empty(0, np.int64)]), np.array([len(x) for x in own])))
+            else:
+                columns.append(part.column(f.name))
+        numbers = [before, [t.tokens for t in trees_], [len(t.text) for t in trees_], [t.encoded_chars for t in trees_]]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(x, pa.int64()) for x in numbers], schema.names)
+
+    return trees.mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.llm import bpe, edits, itq, lm_score, mixing, ngram_join, quality, rans, secrets, sharding
-from furrow.llm.common import scratch_dir, table
+from furrow.llm.common import scratch_dir, table, written
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
@@ -54,12 +54,16 @@ def edit_script(docs: DataFrame) -> DataFrame:
         return F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)) * k, F.coalesce(F.length("text"), F.lit(0)) + 1)
 
     script = [F.struct(at(k).alias("start"), (at(k) + cut).alias("stop"), F.lit(new).alias("text")) for k, cut, new in ((7919, 0, "a new word "), (104729, 9, ""), (15485863, 5, "Re-placed"))]
-    return docs.select("doc_id", "text", F.array(*script).alias("edits"))
+    return docs.withColumn("edits", F.array(*script))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document before and after edit_script(): doc_id, n_tokens_before, n_tokens, n_chars_after, n_chars_encoded."""
-    return edits.count_edits(edit_script(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    """Token counts of every document before and after edit_script(): doc_id, n_tokens_before, n_tokens, n_chars_after, n_chars_encoded.
+
+    The trees are kept as a table; the edits meet the table, not the documents.
+    """
+    trees = written(edits.build(table(spark, sf_dir, "documents").select("doc_id", "text")), "trees", compression="zstd")
+    return edits.apply_edits(edit_script(trees), keep=["doc_id"])
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

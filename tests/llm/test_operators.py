@@ -238,18 +238,63 @@ def test_mixing_few_long_texts():
         assert not (length[take < count] <= left).any(), "a text that fits was left out"
 
 
+def edited(text, changes):
+    for x in changes or []:
+        if x is not None:
+            a = min(max(x["start"] or 0, 0), len(text))
+            text = text[:a] + (x["text"] or "") + text[max(a, min(x["stop"] or 0, len(text))) :]
+    return text
+
+
 def test_edits(docs, nothing):
-    e = queries.edit_script(docs).withColumn("edits", F.concat("edits", F.expr("array(null, named_struct('start', 99999999L, 'stop', 5L, 'text', 'tail'))"), F.col("edits")))
+    """Trees kept as a table follow two rounds of edits; counts and leaves equal those of encoding the edited texts whole."""
+    more = F.expr("array(null, named_struct('start', 99999999L, 'stop', 5L, 'text', 'tail'), named_struct('start', cast(null as bigint), 'stop', cast(null as bigint), 'text', cast(null as string)), named_struct('start', 3L, 'stop', 2L, 'text', repeat('lång insertion ', 400)))")
+    trees = edits.build(docs.withColumn("n_tokens", F.lit("clash")))
+    first = edits.apply_edits(queries.edit_script(trees).withColumn("edits", F.concat("edits", more, F.col("edits"))))
+    second = edits.apply_edits(queries.edit_script(first.drop("edits", "n_tokens_before", "n_tokens_", "n_chars_after", "n_chars_encoded")).withColumn("edits", F.when(F.col("doc_id") % 5 > 0, F.col("edits"))))
     t = library()
-    for r in edits.count_edits(e, with_text=True).collect():
-        text = r.text or ""
-        for x in r.edits:
-            if x is not None:
-                a = min(max(x.start, 0), len(text))
-                text = text[:a] + x.text + text[max(a, min(x.stop, len(text))) :]
-        assert r.edited_text == text
-        assert r.n_tokens == len(t.encode(text, add_special_tokens=False).ids) and r.n_tokens_before == len(t.encode(r.text or "", add_special_tokens=False).ids)
-    assert edits.count_edits(queries.edit_script(nothing)).count() == 0
+
+    def n(text):
+        return len(t.encode(text, add_special_tokens=False).ids)
+
+    before = {r.doc_id: r.text or "" for r in docs.collect()}
+    for round_ in (first, second):
+        for r in round_.collect():
+            text = edited(before[r.doc_id], r.edits)
+            assert r.text == text and r.n_chars_after == len(text) and r.n_tokens == "clash"
+            assert (r["n_tokens_before"], r["n_tokens_"]) == (n(before[r.doc_id]), n(text))
+            assert (sum(r.leaf_chars), sum(r.leaf_tokens)) == (len(text), n(text))
+            before[r.doc_id] = text
+    assert edits.apply_edits(queries.edit_script(edits.build(nothing))).count() == 0
+
+
+def test_edits_encode_only_what_they_touch(docs):
+    out = edits.apply_edits(queries.edit_script(edits.build(docs)), keep=["doc_id", "text"]).where("doc_id >= 0").collect()
+    assert all(r.n_chars_encoded <= 200 for r in out if max(map(len, (r.text or " ").split() or [""])) < 30)
+    rng, t = random.Random(6), library()
+    for _ in range(150):
+        text = "".join(rng.choices("ab é\n1.'s", k=rng.randint(0, 60)))
+        tree = edits.TokenTree.of(text, lambda xs: np.array([len(t.encode(x, add_special_tokens=False).ids) for x in xs], np.int64))
+        for _ in range(6):
+            change = {"start": rng.randint(-2, 70), "stop": rng.randint(-2, 70), "text": "".join(rng.choices("ab 1", k=rng.randint(0, 5)))}
+            tree.edit(*change.values())
+            text = edited(text, [change])
+            assert tree.text == text and tree.tokens == len(t.encode(text, add_special_tokens=False).ids)
+
+
+def test_token_counts_query(spark, tmp_path):
+    """Repeated rows, null ids and texts: the query against encoding whole texts twice."""
+    rows = [(1, "one two three"), (1, "one two three"), (1, "other"), (None, "ab cd"), (None, None), (4, ""), (5, "  lead"), (6, "x" * 5000 + " y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    t = library()
+    expected = []
+    for i, x in rows:
+        x, k = x or "", i or 0
+        at = [k * m % (len(x) + 1) for m in (7919, 104729, 15485863)]
+        new = edited(x, [dict(zip(("start", "stop", "text"), e, strict=True)) for e in ((at[0], at[0], "a new word "), (at[1], at[1] + 9, ""), (at[2], at[2] + 5, "Re-placed"))])
+        expected.append((i, len(t.encode(x, add_special_tokens=False).ids), len(t.encode(new, add_special_tokens=False).ids), len(new)))
+    got = queries.op7_token_counts(spark, str(tmp_path)).drop("n_chars_encoded").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
 
 
 def test_token_files(spark, docs, nothing, tmp_path):
