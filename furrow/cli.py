@@ -9,16 +9,17 @@ import os
 import re
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow import kernel
 from furrow.config import METHODS, PlanConfig
-from furrow.functions import crs
+from furrow.functions import crs, text
 from furrow.kernel import call
 from furrow.operators import survey_stats
-from furrow.plans import evaluate, treatment
-from furrow.sources import geojson, likert
+from furrow.operators.spatial_join import overlapping
+from furrow.plans import evaluate, reports, treatment
+from furrow.sources import geojson, layout, likert
 
 NUMBERS = ("weed_buffer_m", "merge_distance_m", "obstacle_safety_buffer_m", "negative_buffer_m", "min_polygon_area_m2", "rectangle_min_fill_ratio", "grid_cell_size_m", "grid_fill_threshold", "quadtree_min_cell_size_m", "quadtree_fill_threshold", "alpha_shape_radius_m", "strip_width_m", "strip_fill_threshold")
 
@@ -36,8 +37,8 @@ def _config(a: argparse.Namespace) -> PlanConfig:
 
 def plan(a: argparse.Namespace) -> None:
     spark, cfg = _session(), _config(a)
-    weeds, fields = geojson.read(spark, a.weeds), geojson.read(spark, a.fields)
-    obstacles = geojson.read(spark, a.obstacles, allow_missing=True) if a.obstacles else geojson.empty(spark)
+    weeds, fields = (geojson.read(spark, layout.comma_paths(x)) for x in (a.weeds, a.fields))
+    obstacles = geojson.read(spark, layout.comma_paths(a.obstacles), allow_missing=True) if a.obstacles else geojson.empty(spark)
     if weeds.isEmpty() or fields.isEmpty():
         raise ValueError("no detections or no fields")
     print(geojson.save(treatment.generate(weeds, obstacles, fields, cfg), a.output, ["field_id"]), "fields written to", a.output)
@@ -49,33 +50,50 @@ def all_methods(a: argparse.Namespace) -> None:
         plan(argparse.Namespace(**vars(a) | {"coverage_method": m, "output": os.path.join(folder, f"spraying-{m}", f"spraying-{m}.geojson")}))
 
 
-def _metric(features: DataFrame, lines: bool = False) -> tuple[DataFrame, int, bool]:
-    """(file, field, geom) in metres of the UTM zone of the features' middle; zone, south."""
-    g = call("FromJson", "geometry")
-    x = features.select("file", F.coalesce(geojson.feature_id(F.col("properties")).try_cast("double").cast("long"), F.lit(0)).alias("field"), (g if lines else call("Repair", g, F.lit(True))).alias("g")).where("g is not null")
-    box = x.agg(*[((F.min(call("Measure", "g", F.lit(f"min{c}"))) + F.max(call("Measure", "g", F.lit(f"max{c}")))) / 2).alias(c) for c in "xy"])
-    code = box.select(crs.utm_epsg(F.col("x"), F.col("y"), clamp=True)).first()[0]
-    if code is None:
-        raise ValueError("no usable geometry")
-    zone, south = crs.parse_epsg(code)
-    return x.select("file", "field", call("Project", "g", F.lit(zone), F.lit(south), F.lit(False)).alias("geom")), zone, south
+def _metric(features: DataFrame, key: str = "file") -> DataFrame:
+    """features with `g` (degrees), `field` (id or null) and zone, south: the system in metres of their group.
+
+    That of the file if it is in metres, else the UTM zone of the middle of the group's bounds.
+    """
+    geographic, zone, south = crs.source(F.col("crs"))
+    x = geojson.lonlat(features).where("g is not null").withColumn("field", text.field_id(geojson.feature_id(F.col("properties"))))
+    own = F.when(~geographic, F.struct(zone.alias("zone"), south.alias("south")))
+    middle = [((F.min(call("Measure", "g", F.lit(f"min{c}"))) + F.max(call("Measure", "g", F.lit(f"max{c}")))) / 2).alias(c) for c in "xy"]
+    groups = x.groupBy(key).agg(*middle, F.min(own).alias("own")).where("x is not null")
+    near = crs.zone(F.col("x"), clamp=True)
+    groups = groups.select(key, F.coalesce("own.zone", near).alias("zone"), F.coalesce("own.south", F.col("y") < 0).alias("south"))
+    return x.join(groups, key)
+
+
+def _metres(x: DataFrame, geom: str = "g") -> Column:
+    return call("Project", geom, F.col("zone"), F.col("south"), F.lit(False))
 
 
 def _lines_of(spark: SparkSession, path: str, distance: float, angle: float, ids: list[int], output: str) -> None:
     own, blocked = geojson.split_obstacles(geojson.read(spark, path))
-    fields, zone, south = _metric(own)
-    if ids:
-        missing = set(ids) - {r.field for r in fields.select("field").distinct().collect()}
-        if missing == set(ids):
+    # every field id has a zone of its own; a file without any id is one group
+    fields = geojson.lonlat(own).where("g is not null").withColumn("field", text.field_id(geojson.feature_id(F.col("properties"))))
+    if fields.isEmpty():
+        raise ValueError(f"{path}: no usable geometry")
+    has_ids = not fields.where("field is not null").isEmpty()
+    fields = fields.where("field is not null") if has_ids else fields.withColumn("field", F.lit(0).cast("long"))
+    if ids and has_ids:
+        asked = reports.requested_ids(fields, ids)
+        if asked.where("known").isEmpty():
             raise ValueError(f"{path}: none of the fields {sorted(ids)}")
-        fields = fields.where(F.col("field").isin(*ids))
+        fields = fields.join(asked.where("known").select("field"), "field", "left_semi")
+    middle = [call("Measure", call("Union", F.collect_list("g")), F.lit(c)).alias(c) for c in ("cx", "cy")]
+    zones = fields.groupBy("field").agg(*middle).select("field", crs.zone(F.col("cx"), clamp=True).alias("zone"), (F.col("cy") < 0).alias("south"))
+    fields = treatment.bounded(fields.select("field", "g"), "g").join(zones, "field")
     obstacles = None
     if not blocked.isEmpty():
-        o = blocked.select(call("Project", call("Repair", call("FromJson", "geometry"), F.lit(True)), F.lit(zone), F.lit(south), F.lit(False)).alias("o")).where("o is not null")
-        obstacles = o.join(fields, call("Relate", "geom", "o", F.lit("intersects"))).select("field", F.col("o").alias("geom"))
-    lines = evaluate.flight_lines(fields.select("field", "geom"), obstacles, distance, angle)
-    out = lines.where(call("Measure", "line", F.lit("length")) > 0).select(call("ToJson", call("Project", "line", F.lit(zone), F.lit(south), F.lit(True))).alias("geometry"), F.lit("spray").alias("line_type"), F.col("field").cast("int").alias("field_id"), "part")
-    print(geojson.save(out.drop("part") if out.isEmpty() else out, output, ["field_id", "part"][: 1 if out.isEmpty() else 2]), "lines written to", output)
+        o = treatment.bounded(geojson.lonlat(blocked).where("g is not null").select("g"), "g")
+        near = overlapping(o, fields, 0.01)
+        obstacles = near.select(F.col("r_field").alias("field"), call("Project", "l_g", F.col("r_zone"), F.col("r_south"), F.lit(False)).alias("geom"))
+    lines = evaluate.flight_lines(fields.select("field", _metres(fields).alias("geom")), obstacles, distance, angle).join(zones, "field")
+    back = call("Project", "line", F.col("zone"), F.col("south"), F.lit(True))
+    out = lines.where(call("Measure", "line", F.lit("length")) > 0).select(call("ToJson", back).alias("geometry"), F.lit("spray").alias("line_type"), F.col("field").cast("int").alias("field_id"), "part")
+    print(geojson.save(out, output, ["field_id", "part"], leave_out=["part"]), "lines written to", output)
 
 
 def lines(a: argparse.Namespace) -> None:
@@ -98,20 +116,17 @@ def lines_batch(a: argparse.Namespace) -> None:
         raise ValueError("no file could be used")
 
 
-def _layers(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str]]:
-    """Features of a folder's method sub-folders (or files), with `file` as the method's place in the list of names."""
-    paths = {}
-    for path in sorted(glob.glob(os.path.join(folder, "**", "*.geojson"), recursive=True)):
-        name = os.path.basename(os.path.dirname(path)) if os.path.dirname(path) != folder.rstrip("/") else os.path.splitext(os.path.basename(path))[0]
-        paths.setdefault(name, path)
-    if not paths:
+def _layers(spark: SparkSession, sources: dict[str, list[str]], folder: str) -> DataFrame:
+    """Features of all methods' files with `method` and default_field; files that are not JSON are left out."""
+    if not sources:
         raise FileNotFoundError(f"no GeoJSON files in {folder}")
-    names = sorted(paths)
-    return geojson.read(spark, [paths[n] for n in names]), names
-
-
-def _named(df: DataFrame, names: list[str]) -> DataFrame:
-    return df.withColumn("method", F.get(F.array(*map(F.lit, names)), F.col("file"))).drop("file")
+    files = [(m, p) for m, paths in sources.items() for p in paths]
+    out = None
+    for i, (method, path) in enumerate(files):  # a few files per method
+        rows = spark.read.text(path, wholetext=True).select(F.lit(i).alias("file"), F.col("value").alias("text"))
+        rows = geojson.parse(rows, skip_bad=True).withColumns({"method": F.lit(method), "default_field": F.lit(layout.file_number(path)).cast("long")})
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _write(df: DataFrame, out: str | None) -> None:
@@ -126,33 +141,45 @@ def _write(df: DataFrame, out: str | None) -> None:
 
 def metrics(a: argparse.Namespace) -> None:
     spark = _session()
-    (p, pn), (q, qn) = _layers(spark, a.polygons), _layers(spark, a.lines)
-    polygons, lines_ = _named(_metric(p)[0], pn), _named(_metric(q, lines=True)[0], qn)
-    polygons = polygons.select("method", "field", F.explode(call("Polygons", "geom")).alias("geom"))
-    lines_ = lines_.select("method", "field", F.posexplode(call("LineParts", "geom")).alias("k", "line")).withColumn("part", F.struct("k", F.md5("line")))
-    ids = [x.groupBy("method").agg(F.array_sort(F.collect_set("field")).alias("s")) for x in (polygons, lines_)]
-    same = ids[0].join(ids[1].withColumnRenamed("s", "t"), "method").where("s = t").select("method", F.lit(True).alias("same"))
-    polygons, lines_ = (x.join(same, "method", "left").withColumn("field", F.when(F.col("same"), F.col("field")).otherwise(F.lit(0))).drop("same") for x in (polygons, lines_))
+    polygons = _metric(_layers(spark, layout.polygon_sources(a.polygons), a.polygons), "method")
+    zones = polygons.select("method", "zone", "south").distinct()
+    polygons = polygons.select("method", "field", F.explode(call("Polygons", _metres(polygons))).alias("geom"))
+    lines_ = geojson.lonlat(_layers(spark, layout.line_sources(a.lines), a.lines), repair=False).where("g is not null")
+    lines_ = lines_.withColumns({"field": F.coalesce(text.field_id(geojson.feature_id(F.col("properties"))), "default_field"), "line_type": F.col("properties")["line_type"]})
+    lines_ = evaluate.spray_lines(lines_, ["method"]).join(zones, "method")
+    lines_ = lines_.select("method", "field", "file", "pos", F.posexplode(call("LineParts", _metres(lines_))).alias("k", "line"))
+    lines_ = lines_.select("method", "field", F.struct("file", "pos", "k").alias("part"), "line")
+    polygons, lines_ = evaluate.common_groups(polygons, lines_)
     _write(evaluate.geometric_metrics(polygons, lines_, a.swath).orderBy("method"), a.output)
 
 
 def iou(a: argparse.Namespace) -> None:
-    features, names = _layers(_session(), a.polygons)
-    _write(evaluate.iou_report(_named(_metric(features)[0], names)).orderBy("method1", "method2"), a.output)
+    spark = _session()
+
+    def metric(x: DataFrame) -> DataFrame:
+        x = _metric(x, "method")
+        return x.select("method", _metres(x).alias("geom"))
+
+    layers = metric(_layers(spark, layout.polygon_sources(a.polygons), a.polygons))
+    if a.weeds:
+        weeds = metric(geojson.read(spark, layout.comma_paths(a.weeds)).withColumn("method", F.lit("weeds")))
+        _write(evaluate.weed_capture(layers, weeds.select("geom")).orderBy("method"), a.output and a.output + "_weeds")
+    _write(evaluate.iou_report(layers).orderBy("method1", "method2"), a.output)
 
 
 def sensitivity(a: argparse.Namespace) -> None:
-    g, _, _ = _metric(geojson.read(_session(), a.weeds))
-    parts = g.select("file", F.explode(call("Polygons", "geom")).alias("geom")).withColumn("ord", F.md5("geom"))
+    g = _metric(geojson.read(_session(), layout.comma_paths(a.weeds)))
+    parts = g.select("file", "pos", F.posexplode(call("Polygons", _metres(g))).alias("k", "geom")).select("file", F.struct("pos", "k").alias("ord"), "geom")
     _write(evaluate.sensitivity(parts, [x / 100 for x in range(51)], [2, 4, 8]).orderBy("rho_min", "max_depth"), a.output)
 
 
 def survey(a: argparse.Namespace) -> None:
-    scores = likert.read(_session(), a.file)
-    means = survey_stats.method_means(scores)
-    pairs = survey_stats.paired(means)
-    _write(survey_stats.bootstrap(scores).join(survey_stats.mean_rank(means).drop("n"), "method", "left").orderBy(F.desc("mean_score"), "method"), a.output and a.output + "_methods")
-    _write(survey_stats.win_tie_loss(pairs).join(survey_stats.sign_flip_test(pairs), ["method_a", "method_b"]).orderBy("method_a", "method_b"), a.output and a.output + "_pairs")
+    spark = _session()
+    scores = likert.read(spark, a.file) if os.path.exists(a.file) else likert.empty(spark)
+    methods = survey_stats.zero_summary(spark) if scores.isEmpty() else survey_stats.method_summary(scores)
+    pairs = survey_stats.pair_summary(survey_stats.method_means(scores), list(a.baselines))
+    _write(survey_stats.wide_report(methods, pairs), a.output)
+    print(survey_stats.report_text(a.file, scores, methods, pairs))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -167,7 +194,7 @@ def parser() -> argparse.ArgumentParser:
         return c
 
     many = {"nargs": "+", "required": True}
-    for name, run in (("plan", plan), ("all-methods", all_methods)):
+    for name, run in (("plan", plan), ("process-method", plan), ("all-methods", all_methods)):
         c = add(name, run, (["--weeds"], many), (["--fields"], many), (["--obstacles"], {"nargs": "*"}), (["--output"], {"required": True}), (["--config"], {}), (["--coverage-method"], {}), (["--rectangle-max-depth"], {"type": int}), (["--max-polygon-sides"], {"type": int}), (["--working-crs"], {}))
         for n in NUMBERS:
             c.add_argument("--" + n.replace("_", "-"), type=float)
@@ -175,9 +202,9 @@ def parser() -> argparse.ArgumentParser:
     add("lines", lines, (["file"], {}), distance, angle, (["--fields"], {"default": "[]", "help": "JSON list of ids; [] means all"}), (["--output"], {}))
     add("lines-batch", lines_batch, (["folder"], {}), distance, angle, (["--recursive"], {"action": "store_true"}), (["--output"], {"required": True}))
     add("metrics", metrics, (["polygons"], {}), (["lines"], {}), (["--swath"], {"type": float, "default": 2.0}), (["--output"], {}))
-    add("iou", iou, (["polygons"], {}), (["--output"], {}))
+    add("iou", iou, (["polygons"], {}), (["--weeds"], {"nargs": "*", "default": []}), (["--output"], {}))
     add("sensitivity", sensitivity, (["--weeds"], many), (["--output"], {}))
-    add("survey", survey, (["file"], {}), (["--output"], {}))
+    add("survey", survey, (["file"], {}), (["--baselines"], {"nargs": "*", "default": []}), (["--output"], {}))
     return p
 
 

@@ -36,12 +36,33 @@ def utm_epsg(lon: Column, lat: Column, clamp: bool = False) -> Column:
     return code if clamp else F.when(ok, code).otherwise(DEFAULT_EPSG)
 
 
+# Codes of geographic systems whose degrees are taken as WGS84's, and of spherical Mercator.
+GEOGRAPHIC, MERCATOR = (4326, 4674, 4258, 4979), 3857
+
+
 def parse_epsg(crs: str | int) -> tuple[int, bool]:
-    """(zone, south) of EPSG:326zz or 327zz; other systems are not supported."""
+    """(zone, south) of UTM on WGS84 (EPSG:326zz, 327zz) or SIRGAS 2000 (31965 to 31985); zone 0 is EPSG:3857.  Others are refused."""
     code = int(str(crs).upper().removeprefix("EPSG:"))
-    if code // 100 not in (326, 327) or not 1 <= code % 100 <= 61:
-        raise ValueError(f"working CRS {crs!r}: only UTM on WGS84 (EPSG:326zz, 327zz) is supported")
-    return code % 100, code // 100 == 327
+    if code // 100 in (326, 327) and 1 <= code % 100 <= 61:
+        return code % 100, code // 100 == 327
+    if 31965 <= code <= 31976:
+        return code - 31954, False
+    if 31977 <= code <= 31985:
+        return code - 31960, True
+    if code == MERCATOR:
+        return 0, False
+    raise ValueError(f"working CRS {crs!r}: UTM on WGS84 or SIRGAS 2000 and EPSG:3857 are supported")
+
+
+def source(name: Column) -> tuple[Column, Column, Column]:
+    """(geographic, zone, south) of the name of a `crs` member; null names mean WGS84, unknown ones fail."""
+    code = F.regexp_extract(name, r"(\d+)\s*$", 1).try_cast("int")
+    lonlat = name.isNull() | F.upper(name).endswith("CRS84") | code.isin(*GEOGRAPHIC)
+    zone_ = F.when(lonlat, F.lit(None).cast("int")).when(F.floor(code / 100).isin(326, 327), code % 100)
+    zone_ = zone_.when(code.between(31965, 31976), code - 31954).when(code.between(31977, 31985), code - 31960).when(code == MERCATOR, 0)
+    south = (F.floor(code / 100) == 327) | code.between(31977, 31985)
+    unknown = F.raise_error(F.concat(F.lit("unknown coordinate system: "), name)).cast("int")
+    return lonlat, zone_.otherwise(unknown), F.coalesce(south, F.lit(False))
 
 
 def forward(lon: Column, lat: Column, zone_: Column, south: Column) -> tuple[Column, Column]:

@@ -55,3 +55,28 @@ def spaced_positions(values: Column, tolerance: float) -> Column:
     tol = tolerance if tolerance > 0 else 1e-6
     start = F.array().cast("array<double>")
     return F.aggregate(F.array_sort(values), start, lambda kept, v: F.when((F.size(kept) == 0) | (v - F.try_element_at(kept, F.lit(-1)) > tol), F.concat(kept, F.array(v))).otherwise(kept))
+
+
+def split_axes(ring: Column) -> Column:
+    """Unit vectors of the ring's first two edges; edges of no length are left out."""
+
+    def unit(i: int) -> Column:
+        a, b = F.get(ring, i), F.get(ring, i + 1)
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        n = F.hypot(dx, dy)
+        return F.when(n > 0, F.struct((dx / n).alias("x"), (dy / n).alias("y")))
+
+    return F.array_compact(F.array(unit(0), unit(1)))
+
+
+def reflex_positions(ring: Column, tolerance: float) -> Column:
+    """x of the vertices of a closed ring that bend inwards, on multiples of the tolerance, in order of the ring."""
+    n = F.size(ring) - 1
+    ccw = signed_area(ring) > 0
+
+    def position(i: Column) -> Column:
+        a, b, c = (F.get(ring, F.pmod(i + k, n)) for k in (-1, 0, 1))
+        z = (b["x"] - a["x"]) * (c["y"] - b["y"]) - (b["y"] - a["y"]) * (c["x"] - b["x"])
+        return F.when(F.when(ccw, z < -1e-9).otherwise(z > 1e-9), F.rint(b["x"] / tolerance) * tolerance)
+
+    return F.when(n < 3, F.array().cast("array<double>")).otherwise(F.array_compact(F.transform(F.sequence(F.lit(0), n - 1), position)))

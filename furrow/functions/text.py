@@ -61,3 +61,31 @@ def truth(s: Column) -> Column:
 
 def feature_hash(geometry_json: Column) -> Column:
     return F.substring(F.md5(geometry_json), 1, 10)
+
+
+def html_text(s: Column) -> Column:
+    """A text with the five signs that HTML reads written out."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        s = F.replace(s, F.lit(sign), F.lit(name))
+    return s
+
+
+def set_signature(values: Column) -> Column:
+    """Short hash of a set of texts, 0 for the empty one."""
+    return F.when(F.size(values) == 0, "0").otherwise(F.substring(F.md5(F.array_join(F.array_sort(F.array_distinct(values)), "|")), 1, 10))
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A number with so many places, halves to the even digit."""
+    return F.format_string(f"%.{places}f", F.bround(x, places))
+
+
+def polygon_label(field: Column, piece: Column, area: Column) -> Column:
+    name = F.concat(F.lit("F"), (field + 1).cast("string"), F.lit(" \u00b7 P"), (piece + 1).cast("string"))
+    return F.concat(name, F.lit(" \u2014 "), fixed(area, 0), F.lit(" m\u00b2 ("), fixed(area / 10_000, 4), F.lit(" ha)"))
+
+
+def snap(value: Column, low: float, high: float, step: float) -> Column:
+    """A slider's value: within its bounds, on its steps (from the lower bound)."""
+    inside = F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    return F.least(F.lit(low) + F.rint((inside - low) / step) * step, F.lit(high))

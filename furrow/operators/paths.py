@@ -48,3 +48,9 @@ def gap_split(items: DataFrame, key: str, position: str, order: str, merge_dista
     x = x.withColumn("cut", F.min(F.when(F.col("gap") == F.col("widest"), F.col("nth"))).over(whole))
     ok = (F.col("spread") > 0) & (F.col("widest") / F.col("spread") >= 0.1) & (F.col("widest") >= merge_distance)
     return x.withColumn("side", F.when(ok & (F.col("nth") >= F.col("cut")), 1).otherwise(0)).drop("nth", "gap", "spread", "widest", "cut")
+
+
+def along_axis(items: DataFrame, key: str, x: str, y: str, axis: tuple[float, float], tie: str) -> DataFrame:
+    """items with `position` (their point times the axis) and `nth`, their order along it within the key, ties by `tie`."""
+    position = F.col(x) * axis[0] + F.col(y) * axis[1]
+    return items.withColumn("position", position).withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("position", tie)))

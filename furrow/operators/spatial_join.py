@@ -21,17 +21,20 @@ def _cells(df: DataFrame, prefix: str, size: float) -> DataFrame:
     return df.withColumn("cell_x", F.explode(span("minx", "maxx"))).withColumn("cell_y", F.explode(span("miny", "maxy")))
 
 
-def overlapping(left: DataFrame, right: DataFrame, cell: float, strict: bool = False) -> DataFrame:
-    """Pairs whose boxes meet (strict: share an inner area); columns of both with l_ and r_ before them."""
+def overlapping(left: DataFrame, right: DataFrame, cell: float, strict: bool = False, on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs whose boxes meet (strict: share an inner area) and agree in the columns `on`; columns of both with l_ and r_ before them."""
     a = _cells(left.select(*[F.col(c).alias("l_" + c) for c in left.columns]), "l_", cell)
     b = _cells(right.select(*[F.col(c).alias("r_" + c) for c in right.columns]), "r_", cell)
 
     def before(x: str, y: str) -> Column:
         return F.col(x) < F.col(y) if strict else F.col(x) <= F.col(y)
 
-    j = a.join(b, ["cell_x", "cell_y"]).where(before("l_minx", "r_maxx") & before("r_minx", "l_maxx") & before("l_miny", "r_maxy") & before("r_miny", "l_maxy"))
+    for c in on:
+        a, b = a.withColumn("on_" + c, F.col("l_" + c)), b.withColumn("on_" + c, F.col("r_" + c))
+    keys = ["cell_x", "cell_y", *("on_" + c for c in on)]
+    j = a.join(b, keys).where(before("l_minx", "r_maxx") & before("r_minx", "l_maxx") & before("l_miny", "r_maxy") & before("r_miny", "l_maxy"))
     home = (F.floor(F.greatest("l_minx", "r_minx") / cell) == F.col("cell_x")) & (F.floor(F.greatest("l_miny", "r_miny") / cell) == F.col("cell_y"))
-    return j.where(home).drop("cell_x", "cell_y")
+    return j.where(home).drop(*keys)
 
 
 def clipped_box(joined: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from furrow.functions.text import method_id, method_label
+
 TIE = 1e-12
 MAX_EXACT = 20
 
@@ -68,7 +70,7 @@ def sign_flip_test(pairs: DataFrame, max_n: int = MAX_EXACT) -> DataFrame:
 
 def comparison_type(a: Column, b: Column, baselines: list[str]) -> Column:
     """Kind of a pair of normalised method ids; `manual`: b is a without its last four characters."""
-    return F.when(b == F.expr("left(method_a, greatest(length(method_a) - 4, 0))"), "mrr_vs_manual").when(b.isin(*baselines), "mrr_vs_baseline").when(b.endswith("-mrr"), "mrr_vs_mrr").otherwise("mrr_vs_other")
+    return F.when(b == F.substring(a, F.lit(1), F.greatest(F.length(a) - 4, F.lit(0))), "mrr_vs_manual").when(b.isin(*baselines), "mrr_vs_baseline").when(b.endswith("-mrr"), "mrr_vs_mrr").otherwise("mrr_vs_other")
 
 
 def bootstrap(scores: DataFrame, draws: int = 10_000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
@@ -95,6 +97,77 @@ def bootstrap(scores: DataFrame, draws: int = 10_000, confidence: float = 0.95,
     return counts.groupBy("method").applyInPandas(run, "method string, n long, mean_score double, ci_low double, ci_high double")
 
 
-def heatmap(results: DataFrame, labels: list[str]) -> DataFrame:
-    """mean_difference by method_a (rows) and method_b (columns)."""
-    return results.groupBy("method_a").pivot("method_b", labels).agg(F.first("mean_difference"))
+def heatmap(results: DataFrame, labels: list[str] | None = None, row: str = "method_a", column: str = "method_b") -> DataFrame:
+    """mean_difference by `row` and `column`; labels: the columns, all in order if not given (methods are few)."""
+    labels = labels or [r[0] for r in results.select(column).distinct().orderBy(column).collect()]
+    return results.groupBy(row).pivot(column, labels).agg(F.first("mean_difference"))
+
+
+LEFT_OUT = "Generic MRR"
+
+
+def heatmap_notes(results: DataFrame) -> DataFrame:
+    """(label_a, label_b, note): what each cell of the heatmap says, without the method LEFT_OUT."""
+    d = F.bround("mean_difference", 2)
+    x = results.where((F.col("label_a") != LEFT_OUT) & (F.col("label_b") != LEFT_OUT))
+    number = F.concat(F.when(F.col("mean_difference") > 0, "+").otherwise(""), F.format_string("%.2f", d))
+    return x.select("label_a", "label_b", F.concat(number, F.lit("\n("), F.concat_ws(", ", *[F.concat(F.col(c).cast("string"), F.lit(k)) for c, k in (("wins", "W"), ("ties", "D"), ("losses", "L"))]), F.lit(")")).alias("note"))
+
+
+def with_mean_rank(summary: DataFrame, ranks: DataFrame) -> DataFrame:
+    """summary with mean_rank and n_ranked; methods without a rank have NaN and 0."""
+    r = ranks.select("method", F.col("mean_rank").alias("_r"), F.col("n").alias("_n"))
+    x = summary.join(r, "method", "left")
+    return x.withColumns({"mean_rank": F.coalesce("_r", F.lit(float("nan"))), "n_ranked": F.coalesce("_n", F.lit(0)).cast("long")}).drop("_r", "_n")
+
+
+def method_summary(scores: DataFrame) -> DataFrame:
+    """(place, method, label, n, mean_score, ci_low, ci_high, mean_rank, n_ranked), best mean first, then by label.
+
+    Ranks are over single rows of an evaluator, as in a survey with one row for each method.
+    """
+    x = with_mean_rank(bootstrap(scores), mean_rank(scores.where(F.col("score").isNotNull() & ~F.isnan("score"))))
+    x = x.withColumn("label", method_label(F.col("method")))
+    return x.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_score"), "label")).cast("long"))
+
+
+def pair_summary(means: DataFrame, baselines: list[str]) -> DataFrame:
+    """win_tie_loss() and sign_flip_test() of all ordered pairs, with labels and the kind of comparison."""
+    pairs = paired(means)
+    x = win_tie_loss(pairs).join(sign_flip_test(pairs), ["method_a", "method_b"])
+    labels = {f"label_{s}": method_label(F.col(f"method_{s}")) for s in "ab"}
+    kind = comparison_type(method_id(F.col("method_a")), method_id(F.col("method_b")), baselines)
+    return x.withColumns(labels | {"comparison_type": kind})
+
+
+# Columns of the wide report, and the row that stands for a survey without data.
+REPORT = ("section", "method_id", "method_label", "n", "mean_score", "ci_low", "ci_high", "mean_rank", "comparison_type", "method_a_id", "method_a_label", "method_b_id", "method_b_label", "n_pairs", "n_permutations", "wins", "ties", "losses", "mean_difference", "p_value", "paired_evaluators")
+NO_DATA = ("no-likert-data", "Likert data unavailable")
+
+
+def wide_report(methods: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Both summaries in one table of text columns, empty where a section has no such value, sections in order."""
+    a = methods.select(F.lit("method_summary").alias("section"), "place", F.col("method").alias("method_id"), F.col("label").alias("method_label"), "n", "mean_score", "ci_low", "ci_high", "mean_rank")
+    b = pairs.withColumnsRenamed({f"method_{s}": f"method_{s}_id" for s in "ab"} | {f"label_{s}": f"method_{s}_label" for s in "ab"})
+    b = b.withColumns({"section": F.lit("paired"), "paired_evaluators": F.array_join("paired_evaluators", "; ")})
+    x = a.unionByName(b, allowMissingColumns=True).orderBy("section", "place", "method_a_id", "method_b_id")
+    return x.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in REPORT])
+
+
+def zero_summary(spark: SparkSession) -> DataFrame:
+    """The method summary of a survey without data: one row of zeros."""
+    zeros = {c: F.lit(0.0) for c in ("mean_score", "ci_low", "ci_high", "mean_rank")}
+    return spark.range(1).select(F.lit(1).cast("long").alias("place"), F.lit(NO_DATA[0]).alias("method"), F.lit(NO_DATA[1]).alias("label"), F.lit(0).cast("long").alias("n"), *[v.alias(k) for k, v in zeros.items()], F.lit(0).cast("long").alias("n_ranked"))
+
+
+def report_text(source: str, scores: DataFrame, methods: DataFrame, pairs: DataFrame) -> str:
+    """The report as fixed-width text; its rows are methods and pairs of methods."""
+    n = scores.agg(F.count("*").alias("rows"), F.countDistinct("evaluator").alias("people"), F.countDistinct("method").alias("methods")).first()
+    out = [f"Survey statistics of {source}", f"Valid rows: {n.rows}", f"Evaluators: {n.people}", f"Methods: {n.methods}", ""]
+    out += [f"{'Method':<28} {'n':>3} {'Mean':>8} {'95% CI Low':>15} {'95% CI High':>15} {'Mean Rank':>10}", "-" * 88]
+    out += [f"{r.label:<28} {r.n:>3d} {r.mean_score:>8.3f} {r.ci_low:>15.3f} {r.ci_high:>15.3f} {r.mean_rank:>10.3f}" for r in methods.orderBy("place").collect()]
+    rows = pairs.orderBy("method_a", "method_b").collect()
+    if rows:
+        out += ["", f"{'Comparison':<36} {'n':>3} {'W':>3} {'D':>3} {'L':>3} {'Mean Diff':>11} {'exact p':>10} {'2^n':>6}", "-" * 100]
+        out += [f"{r.label_a + ' vs ' + r.label_b:<36} {r.n_pairs:>3d} {r.wins:>3d} {r.ties:>3d} {r.losses:>3d} {r.mean_difference:>11.3f} {r.p_value:>10.4f} {r.n_permutations:>6d}" for r in rows]
+    return "\n".join(out)

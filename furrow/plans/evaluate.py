@@ -58,6 +58,43 @@ def geometric_metrics(polygons: DataFrame, lines: DataFrame, swath: float = 2.0)
     return t.select("method", F.col("n").alias("num_polygons"), (F.col("area") / 1e4).alias("total_area_ha"), rate("area", "perimeter").alias("area_perimeter_ratio"), F.coalesce(mean, F.lit(0.0)).alias("mean_straight_length_m"), F.coalesce(F.sqrt(F.greatest(F.col("ss") / F.col("k") - mean * mean, F.lit(0.0))), F.lit(0.0)).alias("std_straight_length_m"), F.col("turns").cast("long").alias("num_turns"), rate("turns", "area", 1e4).alias("turns_per_ha"), rate("hit", "own", 100).alias("target_coverage_pct"), rate("miss", "own", 100).alias("clean_area_waste_pct"))
 
 
+SPRAY = "spray"
+
+
+def spray_lines(lines: DataFrame, group: list[str]) -> DataFrame:
+    """The lines of type `spray` (any case) of each group; all of a group that has none."""
+    own = F.coalesce(F.lower("line_type") == SPRAY, F.lit(False))
+    some = F.max(own).over(Window.partitionBy(*group))
+    return lines.withColumns({"_own": own, "_some": some}).where("_own or not _some").drop("_own", "_some")
+
+
+def common_groups(polygons: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with `field`: kept for methods whose polygons and lines have the same ids (nulls aside), else 0 for all rows of the method.
+
+    Ids are compared as rows: a method is uneven if an id of it has polygons only or lines only.
+    """
+    ids = [x.where("field is not null").select("method", "field").distinct() for x in (polygons, lines)]
+    both = ids[0].withColumn("p", F.lit(1)).join(ids[1].withColumn("l", F.lit(1)), ["method", "field"], "full")
+    even = both.groupBy("method").agg((F.count_if(F.col("p").isNull() | F.col("l").isNull()) == 0).alias("even"))
+
+    def keyed(x: DataFrame) -> DataFrame:
+        x = x.join(even, "method", "left").withColumn("even", F.coalesce("even", F.lit(False)))
+        return x.where("not even or field is not null").withColumn("field", F.when(F.col("even"), F.col("field")).otherwise(F.lit(0))).drop("even")
+
+    return keyed(polygons), keyed(lines)
+
+
+def weed_capture(layers: DataFrame, weeds: DataFrame) -> DataFrame:
+    """(method, weed_capture_pct): the share of the weeds' area that each method's polygons cover, from (method, geom) and (geom).
+
+    A report over one survey: the weeds' union is one row.
+    """
+    whole = weeds.agg(call("Union", F.collect_list("geom")).alias("all_weeds"))
+    u = layers.groupBy("method").agg(call("Union", F.collect_list("geom")).alias("g"))
+    hit = F.coalesce(call("Measure", call("Overlay", "g", "all_weeds", F.lit("intersection")), F.lit("area")), F.lit(0.0))
+    return u.crossJoin(F.broadcast(whole)).select("method", F.coalesce(F.try_divide(hit * 100, call("Measure", "all_weeds", F.lit("area"))), F.lit(0.0)).alias("weed_capture_pct"))
+
+
 def iou_report(layers: DataFrame) -> DataFrame:
     """Overlap of every two methods of (method, geom), all in one projection; one row of geometry per method."""
     u = layers.groupBy("method").agg(call("Union", F.collect_list("geom")).alias("g")).withColumn("area", call("Measure", "g", F.lit("area")))

@@ -32,7 +32,7 @@ PLACES = "event_id, CAST((event_id * 37) % 36000 AS DOUBLE) / 100 - 180 AS lon,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-WITH = f"""WITH fields AS (SELECT {FIELDS} FROM nation), weeds AS (SELECT {WEEDS} FROM events), route AS (SELECT {ROUTE} FROM events), likert AS (SELECT {LIKERT} FROM events), places AS (SELECT {PLACES} FROM events),
+WITH = f"""WITH RECURSIVE fields AS (SELECT {FIELDS} FROM nation), weeds AS (SELECT {WEEDS} FROM events), route AS (SELECT {ROUTE} FROM events), likert AS (SELECT {LIKERT} FROM events), places AS (SELECT {PLACES} FROM events),
 clip AS (SELECT field_id, weed_id, greatest(w.minx, f.minx) AS minx, greatest(w.miny, f.miny) AS miny, least(w.maxx, f.maxx) AS maxx, least(w.maxy, f.maxy) AS maxy
  FROM weeds w JOIN fields f ON w.minx <= f.maxx AND f.minx <= w.maxx AND w.miny <= f.maxy AND f.miny <= w.maxy)
 """
@@ -50,10 +50,7 @@ def query(sql: str | None = None):
 
 
 def _table(spark: SparkSession, d: str, name: str, select: str) -> DataFrame:
-    import re
-
-    parts = re.split(r",\s+(?=[^()]*(?:\([^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*\)[^()]*)*$)", select.replace("\n", " "))
-    return spark.read.parquet(f"{d}/{name}.parquet").selectExpr(*parts)
+    return spark.sql(f"SELECT {select} FROM {{t}}", t=spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def fields(spark, d):
@@ -125,7 +122,7 @@ def fixed_grid_rect(spark, d):
 @query(""", q AS (SELECT field_id, weed_id, (minx + maxx) / 2 AS p FROM clip), g AS (SELECT *, row_number() OVER w AS nth, p - lag(p) OVER w AS gap FROM q WINDOW w AS (PARTITION BY field_id ORDER BY p, weed_id)),
  h AS (SELECT *, max(p) OVER v - min(p) OVER v AS spread, max(gap) OVER v AS widest FROM g WINDOW v AS (PARTITION BY field_id)),
  k AS (SELECT *, min(CASE WHEN gap = widest THEN nth END) OVER (PARTITION BY field_id) AS cut FROM h)
- SELECT field_id, count(*) AS n, count(CASE WHEN spread > 0 AND widest / spread >= 0.02 AND widest >= 0.5 AND nth >= cut THEN 1 END) AS n_right FROM k GROUP BY field_id""".replace("0.02", "0.1"))
+ SELECT field_id, count(*) AS n, count(CASE WHEN spread > 0 AND widest / spread >= 0.1 AND widest >= 0.5 AND nth >= cut THEN 1 END) AS n_right FROM k GROUP BY field_id""")
 def gap_split(spark, d):
     q = clip(spark, d).selectExpr("field_id", "weed_id", "(minx + maxx) / 2 as p")
     return paths.gap_split(q, "field_id", "p", "weed_id", 0.5).groupBy("field_id").agg(F.count("*").alias("n"), F.count_if(F.col("side") == 1).alias("n_right"))
@@ -157,12 +154,14 @@ def min_interior_angle(spark, d):
 
 @query(""", t AS (SELECT *, lag(x, 1) OVER w AS bx, lag(y, 1) OVER w AS by_, lag(x, 2) OVER w AS ax, lag(y, 2) OVER w AS ay FROM route WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
  q AS (SELECT line_id, seq, sqrt((bx - ax)**2 + (by_ - ay)**2) * sqrt((x - bx)**2 + (y - by_)**2) * sqrt((ax - x)**2 + (ay - y)**2) AS abc, abs((bx - ax) * (y - ay) - (x - ax) * (by_ - ay)) / 2 AS s FROM t WHERE ax IS NOT NULL)
- SELECT line_id, seq, round(abc / (4 * s), 3) AS radius FROM q WHERE s > 0 AND abc / (4 * s) < 2000""")
+ SELECT line_id, seq, round(CASE WHEN abc > 0 THEN 4 * s / abc ELSE 0 END, 9) AS curvature, s <= 0 AS flat FROM q""")
 def circumradius(spark, d):
+    """All triples of neighbouring points; as 1 / radius, which is stable for nearly straight ones (0 where the radius is infinite)."""
     w = Window.partitionBy("line_id").orderBy("seq")
     p = F.struct("x", "y")
     t = route(spark, d).select("line_id", "seq", p.alias("c"), F.lag(p, 1).over(w).alias("b"), F.lag(p, 2).over(w).alias("a")).where("a is not null")
-    return t.select("line_id", "seq", F.round(measures.circumradius(F.col("a"), F.col("b"), F.col("c")), 3).alias("radius")).where("radius < 2000")
+    t = t.withColumn("radius", measures.circumradius(F.col("a"), F.col("b"), F.col("c")))
+    return t.select("line_id", "seq", F.round(1 / F.col("radius"), 9).alias("curvature"), (F.col("radius") == float("inf")).alias("flat"))
 
 
 _TURNS = """, g AS (SELECT line_id, seq, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM route WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
@@ -272,7 +271,12 @@ def label_format(spark, d):
     return r.select("raw", text.method_id(F.col("raw")).alias("id"), text.method_label(F.col("raw")).alias("label"), text.column_key(F.col("raw")).alias("key"))
 
 
-@query("SELECT *, 'mrr' AS method FROM (VALUES " + ", ".join(f"('{k}')" for k in (*ALIASES, *METHODS)) + ") t(name) WHERE false UNION ALL SELECT name, method FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in {**ALIASES, **{m: m for m in METHODS}}.items()) + ") t(name, method)")
+@query("""SELECT * FROM (VALUES ('mrr', 'mrr'), ('minimum-rotated-rectangle', 'mrr'), ('minimum-rotated-rectangles', 'mrr'), ('rotated-rectangle', 'mrr'),
+ ('bcd', 'bcd'), ('boustrophedon', 'bcd'), ('boustrophedon-cellular', 'bcd'), ('fixed-grid', 'fixed-grid'), ('grid', 'fixed-grid'), ('grid-fixed', 'fixed-grid'), ('chessboard', 'fixed-grid'),
+ ('chessboard-segmentation', 'fixed-grid'), ('quadtree', 'quadtree'), ('quad-tree', 'quadtree'), ('convex-hull', 'convex-hull'), ('convex', 'convex-hull'), ('concave-hull', 'concave-hull'),
+ ('concave', 'concave-hull'), ('alpha-shape', 'concave-hull'), ('alphashape', 'concave-hull'), ('aabb', 'aabb'), ('bbox', 'aabb'), ('axis-aligned-bounding-box', 'aabb'),
+ ('morph-closing', 'morph-closing'), ('morphological-closing', 'morph-closing'), ('closing', 'morph-closing'), ('strip-based', 'strip-based'), ('swath-aligned', 'strip-based'),
+ ('strip-based-merging', 'strip-based'), ('1d-striping', 'strip-based')) t(name, method)""")
 def norm_method(spark, d):
     """Every known name, as the coverage method that it stands for."""
     rows = spark.createDataFrame([(k,) for k in (*ALIASES, *METHODS)], "name string")
@@ -384,8 +388,8 @@ def bootstrap_ci(spark, d):
     return survey_stats.bootstrap(scores(spark, d))
 
 
-@query()
+@query(_PAIRS + """, m2 AS (SELECT method_a, method_b, round(avg(diff), 6) AS md FROM p GROUP BY ALL) SELECT method_a, max(md) FILTER (method_b = 'click') AS click, max(md) FILTER (method_b = 'error') AS error,
+ max(md) FILTER (method_b = 'purchase') AS purchase, max(md) FILTER (method_b = 'signup') AS signup, max(md) FILTER (method_b = 'view') AS view FROM m2 GROUP BY method_a""")
 def method_heatmap(spark, d):
-    names = ["click", "error", "purchase", "signup", "view"]
-    r = survey_stats.win_tie_loss(survey_stats.paired(_means(spark, d)))
-    return survey_stats.heatmap(r, names)
+    r = survey_stats.win_tie_loss(survey_stats.paired(_means(spark, d))).withColumn("mean_difference", F.round("mean_difference", 6))
+    return survey_stats.heatmap(r)

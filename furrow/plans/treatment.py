@@ -1,7 +1,8 @@
 """From detections, fields and obstacles to treatment polygons: one lazy plan.
 
 Rows carry WKB and ordinals.  Shuffles: the grid join of detections with fields, the clusters of a
-field, the polygons of a cluster, and the overlap join within a field.
+field, the polygons of a cluster, and the grid join of a field's polygons.  What the kernel cannot
+work on costs its own field only.
 """
 
 from __future__ import annotations
@@ -61,33 +62,40 @@ def clip_to_fields(weeds: DataFrame, fields: DataFrame, cell: float = 200.0) ->
 
 
 def clusters(parts: DataFrame, distance: float, quad_segs: int) -> DataFrame:
-    """parts with `cluster`: connected regions of a field's polygons grown by half the distance."""
+    """parts with `cluster`: connected regions of a field's polygons grown by half the distance; null geom where a field's geometry is broken."""
     if distance <= 0:
         return parts.withColumn("cluster", F.col("ord").cast("int"))
     g = parts.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("ord", "geom"))).alias("p"))
     label = call("Cluster", F.transform("p", lambda v: v["geom"]), F.lit(float(distance)), F.lit(quad_segs))
-    return g.select("field", F.explode(F.arrays_zip("p", label.alias("cluster"))).alias("z")).select("field", "z.p.ord", "z.p.geom", F.col("z.cluster").alias("cluster"))
+    g = g.withColumn("label", label)
+    rows = F.when(F.col("label").isNotNull(), F.zip_with("p", "label", lambda v, c: F.struct(v["ord"].alias("ord"), v["geom"].alias("geom"), c.alias("cluster"))))
+    none = F.array(F.struct(F.lit(0).cast("long").alias("ord"), F.lit(None).cast("binary").alias("geom"), F.lit(-1).alias("cluster")))
+    return g.select("field", F.explode(F.coalesce(rows, none)).alias("z")).select("field", "z.ord", "z.geom", "z.cluster")
 
 
 def cover(parts: DataFrame, cfg: PlanConfig) -> DataFrame:
-    """(field, cluster, piece, geom): the method's polygons of each cluster."""
+    """(field, cluster, piece, geom): the method's polygons of each cluster.
+
+    A field with a geometry that the kernel cannot work on is left out, the others are not touched.
+    """
     parameters = F.array(*[F.lit(x) for x in cfg.cover_parameters()])
+    # collect_list leaves nulls out, so geometries travel in a struct
     g = parts.groupBy("field", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "geom"))), lambda v: v["geom"]).alias("p"))
-    return g.select("field", "cluster", F.posexplode(call("Cover", F.lit(cfg.coverage_method), "p", parameters)).alias("piece", "geom"))
+    shapes = g.withColumn("shapes", call("Cover", F.lit(cfg.coverage_method), "p", parameters))
+    shapes = shapes.withColumn("broken", F.max(F.col("shapes").isNull()).over(Window.partitionBy("field"))).where("not broken")
+    return shapes.select("field", "cluster", F.posexplode("shapes").alias("piece", "geom"))
 
 
-def resolve_overlaps(pieces: DataFrame, min_area: float) -> DataFrame:
+def resolve_overlaps(pieces: DataFrame, min_area: float, cell: float = 100.0) -> DataFrame:
     """Each polygon of a field less all larger ones (ties: earlier ones), then without small parts and slivers.
 
-    Subtracting the originals makes every polygon independent of the others' results: a self-join on
-    field and rank, one union per polygon.
+    Subtracting the originals makes every polygon independent of the others' results: a grid join of
+    the field's polygons whose boxes meet, and one union per polygon.
     """
     rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc(call("Measure", "geom", F.lit("area"))), "cluster", "piece"))
     x = bounded(pieces.withColumn("rank", rank))
-    a = x.select("field", "rank", F.col("geom").alias("a"), *[F.col(b).alias("a_" + b) for b in BOUNDS])
-    b = x.select("field", F.col("rank").alias("over"), F.col("geom").alias("b"), *[F.col(c).alias("b_" + c) for c in BOUNDS])
-    meets = (F.col("over") < F.col("rank")) & (F.col("a_minx") <= F.col("b_maxx")) & (F.col("b_minx") <= F.col("a_maxx")) & (F.col("a_miny") <= F.col("b_maxy")) & (F.col("b_miny") <= F.col("a_maxy"))
-    masks = a.join(b, "field").where(meets).groupBy("field", "rank").agg(call("Union", F.collect_list("b")).alias("mask"))
+    pairs = overlapping(x.select("field", "rank", *BOUNDS), x.select("field", "rank", "geom", *BOUNDS), cell, on=("field",)).where("r_rank < l_rank")
+    masks = pairs.groupBy(F.col("l_field").alias("field"), F.col("l_rank").alias("rank")).agg(call("Union", F.collect_list("r_geom")).alias("mask"))
     y = x.join(masks, ["field", "rank"], "left").select("field", "rank", call("Repair", call("Overlay", "geom", "mask", F.lit("difference")), F.lit(True)).alias("g"))
     y = y.select("field", "rank", F.posexplode(call("Polygons", "g")).alias("part", "geom")).withColumn("area", call("Measure", "geom", F.lit("area")))
     sliver = (F.col("area") <= SLIVER_AREA_M2) & (call("Measure", "geom", F.lit("min_angle")) < SLIVER_ANGLE_DEG)

@@ -27,6 +27,12 @@ def _key(name: str) -> str:
     return re.sub("[^a-z0-9]+", "", plain.lower())
 
 
+def empty(spark: SparkSession) -> DataFrame:
+    """No scores, with the columns and types of read()."""
+    numbers = ", ".join(f"{n} double" for n in SCORES)
+    return spark.createDataFrame([], f"evaluator string, method string, {numbers}, score double, metrics_used long")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The delimiter is that of , ; tab | which the header has most of; scores that are no numbers are null;
     rows without evaluator, method or any score are dropped."""
