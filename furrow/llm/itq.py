@@ -1,20 +1,28 @@
 """Operator 2: embedding near-dedup with iterative quantisation and multi-index Hamming tables.
 
-A rotation is learned on a bounded sample (about SAMPLE vectors, drawn by hash) so that the
-signs of the rotated vector are a balanced binary code: principal axes first, then alternating sign
-assignment and orthogonal Procrustes.  Every vector is encoded.  Codes of 64 bits are cut into
-substrings, one table each; two vectors meet in a table if they have the same label and dimension and
-their substrings differ in at most `radius` bits.  With 8 tables of 8 bits and radius 0, or 4 of 16
-bits and radius 1 (larger labels), every pair within 7 differing bits meets at least once, whatever
-the size; at a cosine of 0.98 about 4 bits differ.  Found pairs are reranked by the cosine of the
-original vectors in double precision.
-
-Equal vectors of a label collapse into one representative first, with a map-side combine, so copies are
-never paired.  Buckets are split into cells of bounded size, a pair belongs to the first table where it meets, and a
-cell returns one row per vector (links found, local root), never a list of pairs; components are
-joined over the local roots.  Links are counted over vectors, copies included.  Vectors that are null, zero, or hold null or non-finite components, and
-vectors without a label, link with nothing.  Rows that share a vec_id are vectors of one node: each
-counts its own links, and all have one component.
+A rotation is learned on a bounded sample (about SAMPLE vectors, drawn by hash) so that the signs of
+the rotated vector are a balanced binary code: principal axes first, then alternating sign assignment
+and orthogonal Procrustes.  Every vector is encoded, to 64 bits (one bit a dimension below that).
+
+Candidates are pairs of one label and dimension whose codes differ in at most RADIUS bits, and only
+those, whatever the size: at a cosine of 0.98 about 4 bits differ, more than RADIUS in less than 1 %
+of pairs.  Multi-index tables find all of them: the code is cut into substrings, one table each, and
+two codes within RADIUS agree in some substring up to RADIUS // tables bits.  The width of a substring
+follows the size of the largest label (`plan_tables`): 10 tables and equal substrings, or 5 tables and
+probes that differ in a bit.
+
+Retrieval sends codes, not vectors.  Buckets are split into cells of bounded size; a cell compares
+codes by their Hamming distance and returns the rows that have a candidate.  Only those fetch their
+vectors, meet in the same cells again, and candidates are reranked by the cosine of the original
+vectors in double precision.  A pair belongs to the first table where it meets.  A cell returns one
+row per vector (links found, local root), never a list of pairs; components are joined over the local
+roots.
+
+Equal vectors of a label collapse into one representative first, with a map-side combine, so copies
+are never paired; links are counted over vectors, copies included.  Vectors that are null, zero, or
+hold null or non-finite components, and vectors without a label, link with nothing.  Rows that share a
+vec_id are vectors of one node: each counts its own links, and all have one component.  A null vec_id
+cannot be named: such rows come back with null component and 0 links.
 """
 
 from __future__ import annotations
@@ -22,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -33,8 +40,11 @@ from furrow.llm.graph import components
 
 THRESHOLD = 0.98
 SAMPLE, ROUNDS, BITS = 20_000, 40, 64
-CELL_ROWS = 2048
-SMALL_LABEL = 1 << 17
+RADIUS = 9
+CELL_ROWS, BLOCK_ROWS = 2048, 256
+SMALL_LABEL = 1 << 13
+CELL = ["lab", "t", "key", "lo", "hi"]
+_ENTRY = (("lab", pa.int64()), ("t", pa.int32()), ("key", pa.int64()), ("probe", pa.bool_()), ("code", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()))
 
 
 def learn_rotation(x: np.ndarray, rounds: int = ROUNDS, seed: int = 11) -> np.ndarray:
@@ -68,86 +78,143 @@ def keyed(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFr
     return rows.select("*", *[F.when(ok, F.xxhash64(F.lit(k), "label", "x")).alias(f"k{k}") for k in (1, 2)])
 
 
+def plan_tables(largest: int, small_label: int = SMALL_LABEL) -> tuple[int, int]:
+    """(tables, bits in which the substrings of a pair may differ): both cover RADIUS in full."""
+    tables = RADIUS + 1 if largest <= small_label else RADIUS // 2 + 1
+    return tables, RADIUS // tables
+
+
 def substrings(code: np.ndarray, tables: int) -> np.ndarray:
-    width = BITS // tables
-    shift = np.arange(tables, dtype=np.uint64) * np.uint64(width)
-    return ((code[:, None] >> shift) & np.uint64((1 << width) - 1)).astype(np.int64)
+    """rows x tables: the code cut into substrings of equal width, give or take a bit."""
+    cuts = np.arange(tables + 1) * BITS // tables
+    width = np.diff(cuts).astype(np.uint64)
+    return ((code[:, None] >> cuts[:-1].astype(np.uint64)) & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
+
+
+def _unit(x: pa.Array, dim: int) -> np.ndarray:
+    v = np.asarray(pc.list_flatten(x)).astype(np.float64).reshape(-1, dim)
+    v = v / np.abs(v).max(1, keepdims=True)  # scaled so that no norm under- or overflows
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 def _entries(rows: DataFrame, rotations: dict[int, np.ndarray], tables: int, radius: int) -> DataFrame:
-    """Table entries: vectors under their own substring, and, for radius 1, probes under those with one set bit less."""
-    width = BITS // tables
+    """Table entries: codes under their own substring, and, for radius 1, probes under those with one set bit less."""
+    widths = np.diff(np.arange(tables + 1) * BITS // tables).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
-                yield from one(batch.slice(at, 1024))
+                yield one(batch.slice(at, 1024))
 
-    def one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = batch.column("x")
-        dims = np.asarray(pc.list_value_length(x))
+        dims, code = np.asarray(pc.list_value_length(x)), np.zeros(len(batch), np.uint64)
         for dim in np.unique(dims).tolist():
             own = np.flatnonzero(dims == dim)
-            v = np.asarray(pc.list_flatten(x.take(pa.array(own)))).astype(np.float64).reshape(-1, dim)
-            v = v / np.abs(v).max(1, keepdims=True)  # scaled so that no norm under- or overflows
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-            code = codes(v, rotations[dim]) if dim in rotations else np.zeros(len(v), np.uint64)
-            sub = substrings(code, tables)
-            raw = [r.tobytes() for r in v]
-            for t in range(tables):
-                who, key, probe = [np.arange(len(v))], [sub[:, t]], [np.zeros(len(v), bool)]
-                for b in range(width if radius else 0):
-                    on = np.flatnonzero(sub[:, t] >> b & 1)
-                    who.append(on)
-                    key.append(sub[on, t] ^ (1 << b))
-                    probe.append(np.ones(len(on), bool))
-                w = np.concatenate(who)
-                rows_at = pa.array(own[w])
-                columns = [*(batch.column(c).take(rows_at) for c in ("k1", "k2", "vec_id", "weight", "label")), pa.array(np.full(len(w), dim), pa.int32()), pa.array(np.full(len(w), t), pa.int32()), pa.array(np.concatenate(key)), pa.array(np.concatenate(probe)), pa.array(code[w].view(np.int64)), pa.array([raw[i] for i in w.tolist()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    schema = "k1 long, k2 long, vec_id long, weight long, label string, dim int, t int, key long, probe boolean, code long, v binary"
-    names = [c.split()[0] for c in schema.split(", ")]
-    return rows.mapInArrow(run, schema)
-
-
-def _pairs(tables: int, radius: int, threshold: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, weight, n = rows["vec_id"].to_numpy(), rows["weight"].to_numpy(), len(rows)
-        t, probe = int(rows["t"].iloc[0]), rows["probe"].to_numpy()
-        chunk = rows["chunk"].to_numpy() if rows["lo"].iloc[0] != rows["hi"].iloc[0] else None
-        v = np.frombuffer(b"".join(rows["v"]), np.float64).reshape(n, -1)
-        sub = substrings(rows["code"].to_numpy().view(np.uint64), tables)
-        links, parent = np.zeros(n, np.int64), np.arange(n)
-
-        def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        for i in range(n - 1):
-            rest = slice(i + 1, n)
-            want = ~(probe[rest] & probe[i])  # one of the two lies under its own substring
-            if chunk is not None:
-                want &= chunk[rest] != chunk[i]
-            j = np.flatnonzero(want) + i + 1
-            if not len(j):
-                continue
-            j = j[v[j] @ v[i] >= threshold]
-            if t and len(j):
-                apart = np.bitwise_count(sub[j, :t] ^ sub[i, :t])
-                j = j[(apart > radius).all(1)]  # else an earlier table has the pair
-            if len(j):
-                links[i] += weight[j].sum()
-                links[j] += weight[i]
-                a = find(i)
-                for r in {find(x) for x in np.unique(parent[j]).tolist()}:
-                    lo, hi = (a, r) if ids[a] <= ids[r] else (r, a)
-                    parent[hi] = lo
-                    a = lo
-        out = pd.DataFrame({"k1": rows["k1"], "k2": rows["k2"], "vec_id": ids, "links": links, "root": ids[[find(i) for i in range(n)]]})
-        return out[out["links"] > 0]
+            if dim in rotations:
+                code[own] = codes(_unit(x.take(pa.array(own)), dim), rotations[dim])
+        sub, who, table, key, probe = substrings(code, tables), [], [], [], []
+        for t in range(tables):
+            for b in range(-1, widths[t] if radius else 0):
+                on = np.arange(len(code)) if b < 0 else np.flatnonzero(sub[:, t] >> b & 1)
+                who.append(on)
+                table.append(np.full(len(on), t, np.int32))
+                key.append(sub[on, t] if b < 0 else sub[on, t] ^ (1 << b))
+                probe.append(np.full(len(on), b >= 0))
+        w = np.concatenate(who)
+        lab, k1, k2 = (np.asarray(batch.column(c))[w] for c in ("lab", "k1", "k2"))
+        columns = [lab, np.concatenate(table), np.concatenate(key), np.concatenate(probe), code.view(np.int64)[w], k1, k2]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, _ENTRY, strict=True)], [n for n, _ in _ENTRY])
+
+    return rows.mapInArrow(run, "lab long, t int, key long, probe boolean, code long, k1 long, k2 long")
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The cells of a partition that is sorted by CELL, one after the other."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = np.stack([np.asarray(batch.column(c)) for c in CELL], axis=1)
+        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        if held and len(batch) and [held[-1].column(c)[-1].as_py() for c in CELL] != keys[0].tolist():
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(np.r_[0, cut].tolist(), [*cut.tolist(), len(batch)], strict=True):
+            if a < b:
+                held.append(batch.slice(a, b - a))
+                if b < len(batch):
+                    yield pa.Table.from_batches(held)
+                    held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def candidates(cell: pa.Table, tables: int, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, block of rows x all rows) of a cell: True where a row and a later one are candidates that first meet here."""
+    code, probe, chunk = (np.asarray(cell.column(c).combine_chunks()) for c in ("code", "probe", "chunk"))
+    code = code.view(np.uint64)
+    t, split = cell.column("t")[0].as_py(), cell.column("lo")[0].as_py() != cell.column("hi")[0].as_py()
+    sub, order = substrings(code, tables), np.arange(len(code))
+    for a in range(0, len(code), BLOCK_ROWS):
+        i = order[a : a + BLOCK_ROWS]
+        near = (np.bitwise_count(code[i, None] ^ code) <= RADIUS) & (order > i[:, None])
+        near &= ~(probe[i, None] & probe)  # one of the two lies under its own substring
+        if split:
+            near &= chunk[i, None] != chunk
+        if t and near.any():
+            x, y = np.nonzero(near)
+            earlier = (np.bitwise_count(sub[i[x], :t] ^ sub[y, :t]) <= radius).any(1)  # an earlier table has the pair
+            near[x[earlier], y[earlier]] = False
+        yield a, near
+
+
+def _with_candidates(tables: int, radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            some = np.zeros(len(cell), bool)
+            if len(cell) > 1:
+                for a, near in candidates(cell, tables, radius):
+                    some[a : a + len(near)] |= near.any(1)
+                    some |= near.any(0)
+            if some.any():
+                yield from cell.filter(pa.array(some)).combine_chunks().to_batches()
+
+    return run
+
+
+FOUND = "k1 long, k2 long, vec_id long, links long, root long"
+
+
+def _rerank(tables: int, radius: int, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            x = cell.column("x").combine_chunks()
+            v = _unit(x, len(x[0]))
+            ids, weight = (np.asarray(cell.column(c).combine_chunks()) for c in ("vec_id", "weight"))
+            links, parent = np.zeros(len(ids), np.int64), list(range(len(ids)))
+
+            def find(i: int, parent: list[int] = parent) -> int:
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            for a, near in candidates(cell, tables, radius):
+                if not near.any():
+                    continue
+                hit = near & (v[a : a + len(near)] @ v.T >= threshold)
+                links[a : a + len(near)] += hit @ weight
+                links += weight[a : a + len(near)] @ hit
+                for i in np.flatnonzero(hit.any(1)).tolist():
+                    top = find(a + i)
+                    for r in {find(j) for j in np.flatnonzero(hit[i]).tolist()}:
+                        lo, hi = (top, r) if ids[top] <= ids[r] else (r, top)
+                        parent[hi] = lo
+                        top = lo
+            some = np.flatnonzero(links)
+            if len(some):
+                roots = ids[[find(i) for i in some.tolist()]]
+                keys = [np.asarray(cell.column(c).combine_chunks())[some] for c in ("k1", "k2")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*keys, ids[some], links[some], roots)], ["k1", "k2", "vec_id", "links", "root"])
 
     return run
 
@@ -168,15 +235,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
         m /= np.abs(m).max(1, keepdims=True)
         rotations[dim] = learn_rotation(m)
     largest = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    tables, radius = (8, 0) if largest <= small_label else (4, 1)
-    entries = written(_entries(reps, rotations, tables, radius), "entries")
-    bucket = ["label", "dim", "t", "key"]
+    tables, radius = plan_tables(largest, small_label)
+    labelled = reps.withColumn("lab", F.xxhash64("label", F.size("x")))
+    entries = written(_entries(labelled.select("lab", "k1", "k2", "x"), rotations, tables, radius), "entries")
+    bucket = ["lab", "t", "key"]
     sizes = entries.groupBy(*bucket).agg(F.count("*").alias("m"), F.count_if(~F.col("probe")).alias("own")).where("m > 1 and own > 0")
     cells = entries.join(sizes, bucket).withColumn("chunks", F.ceil(F.col("m") / CELL_ROWS).cast("int"))
     cells = cells.withColumn("chunk", F.pmod(F.xxhash64(*key), F.col("chunks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     cells = cells.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other", "chunks", "m", "own")
-    found = written(cells.groupBy(*bucket, "lo", "hi").applyInPandas(_pairs(tables, radius, threshold), "k1 long, k2 long, vec_id long, links long, root long"), "found")
+
+    def in_cells(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*CELL).sortWithinPartitions(*CELL, *key, "probe")
+
+    cells = in_cells(cells)
+    near = written(cells.mapInArrow(_with_candidates(tables, radius), cells.schema), "near")
+    full = in_cells(near.join(reps.select(*key, "vec_id", "weight", "x"), key))
+    found = written(full.mapInArrow(_rerank(tables, radius, threshold), FOUND), "found")
     links = found.groupBy(*key).agg(F.sum("links").alias("links"))
     edges = found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))
     # ids with several different vectors tie those vectors' representatives together
