@@ -3,16 +3,17 @@
 A slice of texts is cut into white-space chunks on its bytes, each distinct chunk is normalised and
 split into pre-tokens once, and the symbols of all new pre-tokens lie in one flat array.  Every
 round looks up the rank of all changed neighbours by binary search over the sorted pair keys and
-merges, in each word, the leftmost pair of the lowest rank; words without a known pair leave.
+merges, in each word, the pair of the lowest rank wherever it stands; words without a known pair
+leave.  So a long word takes as many rounds as it has different merges, not as it has merges.
 Documents are then put together by ragged gathers.  Encoding is map-only: no shuffle, and the
 memory of a task is bounded by the slice, the longest text and WORD_CACHE remembered pre-tokens.
 
-Null text counts as empty: no tokens, and the empty text when decoded.
+Null text counts as empty: no tokens, and the empty text when decoded.  Rows are encoded each on their
+own, whatever their other columns hold.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -28,7 +29,6 @@ from furrow.llm.common import hash_spans, slices, spare_name, utf8, word_spans
 
 TEXT_SLICE = 4 << 20
 WORD_CACHE = 400_000
-LONG_WORD = 256
 _INF = np.int32(2**31 - 1)
 
 # The tokenizer file's pre-token pattern (white space written out as the Unicode property).
@@ -78,6 +78,11 @@ class WordBpe:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int32)
         self.made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        # a merge whose result can take part in one of a lower rank (if another merge makes it too) goes one place at a time
+        soonest = np.full(self.size, len(merges), np.int64)
+        for part in (keys // self.size, keys % self.size):
+            np.minimum.at(soonest, part, np.arange(len(merges)))
+        self.alone = soonest[self.made] <= np.arange(len(merges))
         self.strings = [""] * self.size
         for s, i in [*vocab.items(), *self.specials.items()]:
             self.strings[i] = s
@@ -103,13 +108,6 @@ class WordBpe:
         sym[last] = self.final[data[last]]
         word = np.repeat(np.arange(len(raw)), size)
         out_sym, out_word = [], []
-        for i in np.flatnonzero(size > LONG_WORD):
-            ids = self._encode_long(sym[end[i] - size[i] : end[i]].tolist())
-            out_sym.append(np.array(ids, np.int64))
-            out_word.append(np.full(len(ids), i))
-        if out_sym:
-            short = size[word] <= LONG_WORD
-            sym, word = sym[short], word[short]
         rank = np.full(len(sym), _INF, np.int32)
         inside = np.flatnonzero(word[1:] == word[:-1])
         rank[inside] = self.rank(sym[inside], sym[inside + 1])
@@ -129,12 +127,15 @@ class WordBpe:
             else:
                 low_here = low[nth]
             hit = np.flatnonzero(rank == low_here)
-            hit = hit[np.r_[True, word[hit[1:]] != word[hit[:-1]]]]
+            run = np.maximum.accumulate(np.where(np.r_[True, hit[1:] != hit[:-1] + 1], np.arange(len(hit)), 0))
+            first = np.r_[True, word[hit[1:]] != word[hit[:-1]]]
+            # all places of the pair at once, every second one of an overlapping run; only the leftmost where the order could matter
+            hit = hit[np.where(self.alone[rank[hit]], first, (np.arange(len(hit)) - run) % 2 == 0)]
             sym[hit] = self.made[rank[hit]]
             stay = np.ones(len(sym), bool)
             stay[hit + 1] = False
             sym, word, rank = sym[stay], word[stay], rank[stay]
-            hit = hit - np.arange(len(hit))  # one symbol went in each word before it
+            hit = hit - np.arange(len(hit))  # one symbol went for each place before it
             for at in (hit, hit[hit > 0] - 1):
                 if len(at):
                     nxt = np.minimum(at + 1, len(sym) - 1)
@@ -144,33 +145,6 @@ class WordBpe:
         order = np.argsort(word, kind="stable")
         return sym[order].astype(np.int32), np.bincount(word, minlength=len(raw))
 
-    def _encode_long(self, sym: list[int]) -> list[int]:
-        """The same merges for one long word, with a heap instead of rounds."""
-        table = self._dict()
-        n = len(sym)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(table[p][0], i) for i, p in enumerate(zip(sym, sym[1:], strict=False)) if p in table]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i] if sym[i] >= 0 else -1
-            if j < 0 or table.get((sym[i], sym[j]), (-1,))[0] != rank:
-                continue
-            sym[i], sym[j] = table[sym[i], sym[j]][1], -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (p := (sym[a], sym[b])) in table:
-                    heapq.heappush(heap, (table[p][0], a))
-        return [s for s in sym if s >= 0]
-
-    def _dict(self) -> dict[tuple[int, int], tuple[int, int]]:
-        if not hasattr(self, "_table"):
-            left, right = np.divmod(self.keys, self.size)
-            self._table = {(a, b): (r, self.made[r].item()) for a, b, r in zip(left.tolist(), right.tolist(), self.ranks.tolist(), strict=True)}
-        return self._table
-
     def decode_rows(self, ids: np.ndarray, count: np.ndarray) -> pa.Array:
         """One text for each row: the token strings joined by a space (the file has no decoder)."""
         length = self.piece_len[ids]

@@ -177,6 +177,18 @@ def test_bpe_odd_texts():
     assert [ids[e - c : e].tolist() for e, c in zip(ends, count, strict=True)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_long_words_and_repeats():
+    """One pair at many places, overlapping ones, and long words without white space, against the library."""
+    rng = random.Random(18)
+    words = ["a" * n for n in range(1, 40)] + ["ab" * 700, "aab" * 500, "the" * 900, "日本語" * 400, "é" * 999]
+    words += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20_000)), "".join(rng.choices("aeinrst", k=9000))]
+    words += ["".join(rng.choice(("in", "ing", "er", "the", "an", "a", "n", "th")) for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    t, own = library(), bpe.WordBpe(bpe.default_path())
+    ids, count = own.encode_words(words)
+    ends = np.cumsum(count)
+    assert [ids[e - c : e].tolist() for e, c in zip(ends, count, strict=True)] == [x.ids for x in t.encode_batch(words, add_special_tokens=False)]
+
+
 def brute_links(rows):
     sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in rows if (w := WORD.findall(t or ""))}
     links = {i: {j for j, b in sets.items() if j != i and len(a & b) >= 0.8 * len(a | b)} for i, a in sets.items()}
