@@ -101,4 +101,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_score": lm_score.SQL}
+    return {"op1_lm_score": lm_score.SQL, "op10_sharding": sharding.placement_sql(SHARDS)}

@@ -75,3 +75,10 @@ def write_shards(placed: DataFrame, out: str, files_per_shard: int = 8, shard: s
     """One folder for each shard; each is dealt over files_per_shard tasks, so that no task writes a whole shard."""
     salt = F.pmod(F.xxhash64(*[c for c, kind in placed.dtypes if not kind.startswith("map")]), F.lit(files_per_shard))
     placed.repartition(F.col(shard), salt).write.partitionBy(shard).parquet(out)
+
+
+def placement_sql(shards: list[str], slots: int = SLOTS) -> str:
+    """The same placement of documents in SQL, over the filled table."""
+    owners = "[" + ",".join(map(str, fill(shards, slots))) + "]"
+    return f"""WITH t AS (SELECT {owners} AS owners), d AS (SELECT doc_id, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) % {slots} AS slot FROM documents)
+SELECT doc_id, slot, owners[slot + 1] AS shard FROM d, t"""
