@@ -189,7 +189,7 @@ def apply_edits(trees: DataFrame, path: str | None = None, text: str = "text", e
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)
         for batch in batches:
-            for i, j in slices(utf8(batch.column(text))[1], TEXT_SLICE):
+            for i, j in slices(utf8(batch.column(text))[1]):
                 yield one(batch.slice(i, j - i), count)
 
     def one(part: pa.RecordBatch, count: Count) -> pa.RecordBatch:
