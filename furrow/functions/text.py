@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from furrow.config import CANONICAL, METHODS
+
 # Acronyms in labels, and the letters of accented ones (the letters without them at the same places).
 ACRONYMS = {"mrr": "MRR", "bp": "BP", "mops": "MOPS", "aabb": "AABB", "bcd": "BCD", "utm": "UTM", "wgs": "WGS"}
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
@@ -40,11 +42,8 @@ def method_label(s: Column) -> Column:
 
 def coverage_method(s: Column) -> Column:
     """Canonical coverage method, null for unknown names; null means mrr."""
-    from furrow.config import ALIASES, METHODS
-
-    x = F.replace(F.lower(F.trim(s)), F.lit("_"), F.lit("-"))
-    table = F.create_map(*[F.lit(v) for k in {**{m: m for m in METHODS}, **ALIASES}.items() for v in k])
-    return F.when(s.isNull(), "mrr").otherwise(F.try_element_at(table, x))
+    table = F.create_map(*[F.lit(v) for pair in CANONICAL.items() for v in pair])
+    return F.when(s.isNull(), METHODS[0]).otherwise(F.try_element_at(table, F.replace(F.lower(F.trim(s)), F.lit("_"), F.lit("-"))))
 
 
 def field_id(s: Column) -> Column:

@@ -86,7 +86,9 @@ def load_checked(spark: SparkSession, path: str, label: str) -> DataFrame | None
         return _LOADED[key]
     if stat.st_size > MAX_MB << 20:
         raise ValueError(f"{label}: file too large ({stat.st_size / (1 << 20):.1f} MB)")
-    raw = spark.read.format("binaryFile").load(path).select(F.lit(0).alias("file"), F.expr("try_validate_utf8(cast(content as string))").alias("text"))
+    # the version is part of the plan, so that Spark does not take a changed file for the remembered one
+    version = F.lit(f"{stat.st_mtime_ns}:{stat.st_size}").alias("version")
+    raw = spark.read.format("binaryFile").load(path).select(F.lit(0).alias("file"), version, F.expr("try_validate_utf8(cast(content as string))").alias("text"))
     found = raw.select(F.col("text").isNull().alias("odd"), validity(F.col("text")).alias("why")).first()
     if found.odd or found.why:
         raise ValueError(f"{label}: " + ("invalid encoding, not UTF-8" if found.odd else found.why))
