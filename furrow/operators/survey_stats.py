@@ -110,7 +110,8 @@ def heatmap_notes(results: DataFrame) -> DataFrame:
     """(label_a, label_b, note): what each cell of the heatmap says, without the method LEFT_OUT."""
     d = F.bround("mean_difference", 2)
     x = results.where((F.col("label_a") != LEFT_OUT) & (F.col("label_b") != LEFT_OUT))
-    number = F.concat(F.when(F.col("mean_difference") > 0, "+").otherwise(""), F.format_string("%.2f", d))
+    sign = F.when(F.col("mean_difference") > 0, "+").when((F.col("mean_difference") < 0) & (d == 0), "-").otherwise("")
+    number = F.concat(sign, F.format_string("%.2f", d))
     return x.select("label_a", "label_b", F.concat(number, F.lit("\n("), F.concat_ws(", ", *[F.concat(F.col(c).cast("string"), F.lit(k)) for c, k in (("wins", "W"), ("ties", "D"), ("losses", "L"))]), F.lit(")")).alias("note"))
 
 
