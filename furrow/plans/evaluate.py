@@ -109,16 +109,22 @@ def iou_report(layers: DataFrame) -> DataFrame:
 def sensitivity(weeds: DataFrame, rhos: list[float], depths: list[int], merge_distance: float = 5.0, swath: float = 3.0) -> DataFrame:
     """Rotated-rectangle runs over (file, ord, geom) for every rho and depth: area, polygons, coverage, overlap, turns, lengths.
 
-    The sweep is a join with the few parameter rows; each (file, rho, depth) is a task's worth of its own.
+    A file's geometry goes to one row per depth.  There the rhos are swept in turn; most change nothing,
+    so that only the different results (with the range of rhos that they hold for) are measured.
     """
     spark = weeds.sparkSession
-    grid = spark.createDataFrame([(float(r), int(d)) for r in rhos for d in depths], "rho_min double, max_depth int")
-    g = weeds.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "geom"))), lambda v: v["geom"]).alias("p")).withColumn("truth", call("Union", "p"))
-    q = F.array(F.col("rho_min"), F.col("max_depth").cast("double"), *[F.lit(x) for x in (float(merge_distance), 2.0, 0.35, 1.0, 0.35, 20.0, 3.0, 0.3, 1.0, 4.0)])
-    x = g.crossJoin(F.broadcast(grid)).repartition("file", "rho_min", "max_depth").withColumn("shape", call("Union", call("Cover", F.lit("mrr"), "p", q)))
+    rhos = sorted(float(r) for r in rhos)
+    grid = spark.createDataFrame([(int(d),) for d in depths], "max_depth int")
+    g = weeds.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "geom"))), lambda v: v["geom"]).alias("p"))
+    swept = call("Sweep", "p", F.array(*map(F.lit, rhos)), F.col("max_depth"), F.lit(float(merge_distance)))
+    x = g.crossJoin(F.broadcast(grid)).repartition("file", "max_depth").select("file", "max_depth", call("Union", "p").alias("truth"), swept.alias("shapes"))
+    own = F.filter(F.transform("shapes", lambda v, i: F.struct(i.alias("first"), v.alias("shape"))), lambda v: v["shape"].isNotNull())
+    own = F.transform(own, lambda v, k: F.struct(v["first"].alias("first"), F.coalesce(F.get(own, k + 1)["first"], F.lit(len(rhos))).alias("stop"), v["shape"].alias("shape")))
+    x = x.select("file", "max_depth", "truth", F.explode(own).alias("o")).select("file", "max_depth", "truth", "o.first", "o.stop", "o.shape")
     both = call("Measure", call("Overlay", "shape", "truth", F.lit("intersection")), F.lit("area"))
-    x = x.withColumns({"a": call("Measure", "shape", F.lit("area")), "t": call("Measure", "truth", F.lit("area")), "both": both})
-    parts = x.select("file", "rho_min", "max_depth", F.posexplode(call("Polygons", "shape")).alias("part", "geom"))
+    x = x.withColumns({"a": call("Measure", "shape", F.lit("area")), "t": call("Measure", "truth", F.lit("area")), "both": both}).drop("truth")
+    key = ["file", "max_depth", "first"]
+    parts = x.select(*key, F.posexplode(call("Polygons", "shape")).alias("part", "geom"))
     r = call("Points", call("Shape", "geom", F.lit("rectangle")))
 
     def side(i: int):
@@ -127,15 +133,17 @@ def sensitivity(weeds: DataFrame, rhos: list[float], depths: list[int], merge_di
     (ax, ay), (bx, by) = side(0), side(1)
     longer = F.hypot(ax, ay) >= F.hypot(bx, by)
     angle = F.pmod(F.degrees(F.atan2(F.when(longer, ay).otherwise(by), F.when(longer, ax).otherwise(bx))), F.lit(180.0))
-    lines = parts.select(F.struct("file", "rho_min", "max_depth", "part").alias("line_id"), call("Route", "geom", F.lit(float(swath)), angle).alias("line"))
+    lines = parts.select(F.struct(*key, "part").alias("line_id"), call("Route", "geom", F.lit(float(swath)), angle).alias("line"))
     pts = line_points(lines)
     runs = straight_runs(pts).groupBy("line_id").agg(F.max("run").alias("turns"), F.sum("length").alias("s"), F.count("*").alias("k"))
     ends = pts.groupBy("line_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("first"), F.max_by(F.struct("x", "y"), "seq").alias("last"))
-    w = Window.partitionBy("line_id.file", "line_id.rho_min", "line_id.max_depth").orderBy("line_id.part")
+    w = Window.partitionBy(*["line_id." + k for k in key]).orderBy("line_id.part")
     hop = F.coalesce(F.hypot(F.lead("first.x").over(w) - F.col("last.x"), F.lead("first.y").over(w) - F.col("last.y")), F.lit(0.0))
     ends = ends.select("line_id", hop.alias("hop"))
-    flown = runs.join(ends, "line_id").groupBy("line_id.rho_min", "line_id.max_depth", "line_id.file").agg((F.sum("turns") + F.count("*") - 1).alias("turns"), F.sum("s").alias("s"), F.sum("k").alias("k"), F.sum("hop").alias("hop"))
-    n = parts.groupBy("file", "rho_min", "max_depth").count()
-    y = x.join(n, ["file", "rho_min", "max_depth"], "left").join(flown, ["file", "rho_min", "max_depth"], "left")
+    flown = runs.join(ends, "line_id").groupBy(*[F.col("line_id." + k).alias(k) for k in key]).agg((F.sum("turns") + F.count("*") - 1).alias("turns"), F.sum("s").alias("s"), F.sum("k").alias("k"), F.sum("hop").alias("hop"))
+    n = parts.groupBy(*key).count()
+    y = x.drop("shape").join(n, key, "left").join(flown, key, "left")
+    rho = F.get(F.array(*map(F.lit, rhos)), F.col("i"))
+    y = y.withColumn("i", F.explode(F.sequence("first", F.col("stop") - 1))).withColumn("rho_min", rho)
     y = y.groupBy("rho_min", "max_depth").agg(*[F.sum(c).alias(c) for c in ("a", "t", "both", "count", "turns", "s", "k", "hop")])
     return y.select("rho_min", "max_depth", (F.col("a") / 1e4).alias("total_area_ha"), F.col("count").alias("final_polygon_count"), F.coalesce(F.try_divide(F.col("both") * 100, F.col("t")), F.lit(0.0)).alias("coverage_pct"), F.coalesce(F.try_divide(F.col("both") * 100, F.col("a") + F.col("t") - F.col("both")), F.lit(0.0)).alias("iou_pct"), F.col("turns").cast("long").alias("total_turns"), (F.col("s") / F.col("k")).alias("mean_straight_line_m"), ((F.col("s") + F.col("hop")) / 1e3).alias("total_flight_length_km"))

@@ -1,6 +1,7 @@
 """Coverage methods and lines on shapes whose areas are worked out by hand."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,21 @@ def test_line_around_a_hole_and_a_triangle(spark):
     assert lines[1].n == pytest.approx(24 + 2 * math.sqrt(13))
     # rows of 20, 8 + 8, 8 + 8 and 20, steps of 3; over the hole the way leads by two outer corners, as only those are way points
     assert lines[0].n == pytest.approx(72 + 9 + (2 * math.sqrt(73) + 20) + (2 * math.sqrt(80) + 20), abs=1e-6)
+
+
+@pytest.mark.parametrize("depth", [2, 4, 8])
+def test_swept_rhos_equal_single_runs(spark, depth):
+    """A sweep leaves out only the rhos that change nothing."""
+    rng = random.Random(depth)
+    corners = [(rng.uniform(0, 300), rng.uniform(0, 300), rng.uniform(1, 9), rng.uniform(1, 9)) for _ in range(40)]
+    g = spark.createDataFrame([(i, box(x, y, x + w, y + h)) for i, (x, y, w, h) in enumerate(corners)], "ord long, wkt string")
+    p = g.select(F.transform(F.array_sort(F.collect_list(F.struct("ord", call("FromWkt", "wkt").alias("g")))), lambda v: v["g"]).alias("p"))
+    rhos = [x / 100 for x in range(0, 51, 2)]
+    swept = p.select(F.transform(call("Sweep", "p", F.array(*map(F.lit, rhos)), F.lit(depth), F.lit(5.0)), lambda s: call("Measure", s, F.lit("area")))).first()[0]
+    parameters = PlanConfig(rectangle_max_depth=depth).cover_parameters()
+    single = p.select(F.array(*[call("Measure", call("Union", call("Cover", F.lit("mrr"), "p", F.array(F.lit(r), *map(F.lit, parameters[1:])))), F.lit("area")) for r in rhos])).first()[0]
+    last = None
+    for a, b in zip(swept, single, strict=True):
+        last = a if a is not None else last
+        assert last == pytest.approx(b)
+    assert None in swept and (depth == 2 or len(set(single)) > 1)
