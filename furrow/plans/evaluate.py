@@ -147,3 +147,10 @@ def sensitivity(weeds: DataFrame, rhos: list[float], depths: list[int], merge_di
     y = y.withColumn("i", F.explode(F.sequence("first", F.col("stop") - 1))).withColumn("rho_min", rho)
     y = y.groupBy("rho_min", "max_depth").agg(*[F.sum(c).alias(c) for c in ("a", "t", "both", "count", "turns", "s", "k", "hop")])
     return y.select("rho_min", "max_depth", (F.col("a") / 1e4).alias("total_area_ha"), F.col("count").alias("final_polygon_count"), F.coalesce(F.try_divide(F.col("both") * 100, F.col("t")), F.lit(0.0)).alias("coverage_pct"), F.coalesce(F.try_divide(F.col("both") * 100, F.col("a") + F.col("t") - F.col("both")), F.lit(0.0)).alias("iou_pct"), F.col("turns").cast("long").alias("total_turns"), (F.col("s") / F.col("k")).alias("mean_straight_line_m"), ((F.col("s") + F.col("hop")) / 1e3).alias("total_flight_length_km"))
+
+
+def sensitivity_panels(swept: DataFrame) -> DataFrame:
+    """(panel, rho_min, max_depth, value): the four curves by depth that a plot of sensitivity() shows."""
+    panels = {"total_area_ha": F.col("total_area_ha"), "final_polygon_count": F.col("final_polygon_count").cast("double"), "iou_pct": F.col("iou_pct"), "total_flight_length_m": F.col("total_flight_length_km") * 1000}
+    values = F.array(*[F.struct(F.lit(k).alias("panel"), v.alias("value")) for k, v in panels.items()])
+    return swept.select("rho_min", "max_depth", F.explode(values).alias("v")).select("v.panel", "rho_min", "max_depth", "v.value")

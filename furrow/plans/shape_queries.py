@@ -134,16 +134,29 @@ def geometric_metrics_rect(spark, d):
     return m.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in m.dtypes])
 
 
-@query(""", b AS (SELECT 100 + n_nationkey * 10.0::DOUBLE AS w FROM nation), t AS (SELECT sum(w) AS w, count(*) AS n FROM b)
- SELECT i / 100.0::DOUBLE AS rho_min, d AS max_depth, round(w * 31 / 1e4, 6) AS total_area_ha, n AS final_polygon_count, 100.0::DOUBLE AS coverage_pct, 100.0::DOUBLE AS iou_pct, 20 * n AS total_turns, round((11 * w + 30 * n) / (21 * n), 6) AS mean_straight_line_m, round((11 * w + 30 * n) / 1e3, 6) AS total_flight_length_km
- FROM t, (SELECT unnest(generate_series(0, 50)) AS i), (SELECT unnest([2, 4, 8]) AS d)""")
+_SWEEP = """, b AS (SELECT 100 + n_nationkey * 10.0::DOUBLE AS w FROM nation), t AS (SELECT sum(w) AS w, count(*) AS n FROM b),
+ c AS (SELECT i / 100.0::DOUBLE AS rho_min, d AS max_depth, * FROM t, (SELECT unnest(generate_series(0, 50)) AS i), (SELECT unnest([2, 4, 8]) AS d))"""
+
+
+@query(_SWEEP + """ SELECT rho_min, max_depth, round(w * 31 / 1e4, 6) AS total_area_ha, n AS final_polygon_count, 100.0::DOUBLE AS coverage_pct, 100.0::DOUBLE AS iou_pct, 20 * n AS total_turns, round((11 * w + 30 * n) / (21 * n), 6) AS mean_straight_line_m, round((11 * w + 30 * n) / 1e3, 6) AS total_flight_length_km FROM c""")
 def sensitivity_rect(spark, d):
     """All 153 configurations over one rectangle per file, which none of them splits."""
+    s = _swept(spark, d)
+    return s.select("rho_min", *[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in s.dtypes if c != "rho_min"])
+
+
+def _swept(spark, d) -> DataFrame:
     kernel.load(spark)
     w = _table(spark, d, "nation", "CAST(n_nationkey AS BIGINT) AS file, 100 + CAST(n_nationkey AS DOUBLE) * 10 AS w")
     files = w.select("file", F.lit(0).alias("ord"), call("Rect", F.lit(0.0), F.lit(0.0), F.col("w"), F.lit(31.0)).alias("geom"))
-    s = evaluate.sensitivity(files, [x / 100 for x in range(51)], [2, 4, 8])
-    return s.select("rho_min", *[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in s.dtypes if c != "rho_min"])
+    return evaluate.sensitivity(files, [x / 100 for x in range(51)], [2, 4, 8])
+
+
+@query(_SWEEP + """ SELECT panel, rho_min, max_depth, round(CASE panel WHEN 'total_area_ha' THEN w * 31 / 1e4 WHEN 'final_polygon_count' THEN n WHEN 'iou_pct' THEN 100 ELSE 11 * w + 30 * n END, 6) AS value
+ FROM c, (SELECT unnest(['total_area_ha', 'final_polygon_count', 'iou_pct', 'total_flight_length_m']) AS panel)""")
+def sensitivity_panels(spark, d):
+    """The curves of the four panels of a sensitivity plot."""
+    return evaluate.sensitivity_panels(_swept(spark, d)).withColumn("value", F.round("value", 6))
 
 
 _SIZE = "event_id, 0.5 + CAST(event_id % 7 AS DOUBLE) * 0.5 AS w, 0.5 + CAST(event_id % 5 AS DOUBLE) * 0.5 AS h, CAST(event_id % 1000 AS DOUBLE) AS x, CAST(event_id % 77 AS DOUBLE) AS y"
