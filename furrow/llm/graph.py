@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import written
+from furrow.llm.common import forget, written
 
 
 def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
         # small star: hang a node and its smaller neighbours on the smallest of them
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
-        e = written(small.where("u <> v").distinct(), "edges")
+        last, e = e, written(small.where("u <> v").distinct(), "edges")
+        forget(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
