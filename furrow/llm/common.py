@@ -75,13 +75,14 @@ def spare_name(df: DataFrame, base: str) -> str:
 HEAVY = 1000
 
 
-def join_back(rows: DataFrame, result: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
-    """Inner join of rows with one result row per key, where `weight` says how many rows have the key and total how many there are.
+def join_back(rows: DataFrame, result: DataFrame, keys: list[str], weight: str, total: int, write: bool = True) -> DataFrame:
+    """Inner join of rows with one result row per key, where `weight` says how many rows have the key and total how many there are (or more).
 
     A key with a thousandth of all rows or more is broadcast (there are at most HEAVY of them, whatever
-    the size), so rows that share it stay where they are; the others are shuffled.
+    the size), so rows that share it stay where they are; the others are shuffled.  write: keep the
+    result as a table first, for one that is costly to work out twice.
     """
-    result = written(result, "result")
+    result = written(result, "result") if write else result
     heavy = F.broadcast(result.where(F.col(weight) * HEAVY >= total))
     light = rows.join(heavy.select(*keys), keys, "left_anti").join(result.where(F.col(weight) * HEAVY < total).hint("merge"), keys)
     hot = rows.join(heavy, keys)
