@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN_DEG = 45.0
@@ -22,6 +22,29 @@ def straight_runs(points: DataFrame, key: str = "line_id", seq: str = "seq", tur
     return seg.groupBy(key, "run").agg(F.sum("d").alias("length"))
 
 
+def turn_stats(points: Column, turn_deg: float = TURN_DEG) -> Column:
+    """struct(turns, runs, length) of a polyline given as array of [x, y], as turn_summary() has them; null without a segment of some length.
+
+    For lines that fit into a row: no rows, no windows.
+    """
+    n = F.size(points)
+    x, y = (lambda p, i=i: F.get(p, i) for i in (0, 1))
+
+    def segment(p: Column, q: Column) -> Column:
+        return F.struct(F.hypot(x(q) - x(p), y(q) - y(p)).alias("d"), F.degrees(F.atan2(y(q) - y(p), x(q) - x(p))).alias("heading"))
+
+    segments = F.filter(F.zip_with(F.slice(points, 1, F.greatest(n - 1, F.lit(0))), F.slice(points, 2, F.greatest(n - 1, F.lit(0))), segment), lambda v: v["d"] > 0)
+    m = F.size(segments)
+
+    def turns(a: Column, b: Column) -> Column:
+        change = F.abs(b["heading"] - a["heading"])
+        return (F.least(change, 360 - change) >= turn_deg).cast("long")
+
+    n_turns = F.aggregate(F.zip_with(F.slice(segments, 1, m - 1), F.slice(segments, 2, m - 1), turns), F.lit(0).cast("long"), lambda a, v: a + v)
+    length = F.aggregate(segments, F.lit(0.0), lambda a, v: a + v["d"])
+    return F.when((n > 1) & (m > 0), F.struct(n_turns.alias("turns"), (n_turns + 1).alias("runs"), length.alias("length")))
+
+
 def turn_summary(points: DataFrame, key: str = "line_id", seq: str = "seq") -> DataFrame:
     """(key, turns, runs, total_length, mean_run, std_run) per line; std is of the population."""
     runs = straight_runs(points, key, seq)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.kernel import call
-from furrow.operators.paths import straight_runs
+from furrow.operators.paths import straight_runs, turn_stats
 
 
 def flight_lines(fields: DataFrame, obstacles: DataFrame | None, distance: float = 2.0, angle: float = 0.0) -> DataFrame:
@@ -124,7 +124,6 @@ def sensitivity(weeds: DataFrame, rhos: list[float], depths: list[int], merge_di
     both = call("Measure", call("Overlay", "shape", "truth", F.lit("intersection")), F.lit("area"))
     x = x.withColumns({"a": call("Measure", "shape", F.lit("area")), "t": call("Measure", "truth", F.lit("area")), "both": both}).drop("truth")
     key = ["file", "max_depth", "first"]
-    parts = x.select(*key, F.posexplode(call("Polygons", "shape")).alias("part", "geom"))
     r = call("Points", call("Shape", "geom", F.lit("rectangle")))
 
     def side(i: int):
@@ -133,16 +132,22 @@ def sensitivity(weeds: DataFrame, rhos: list[float], depths: list[int], merge_di
     (ax, ay), (bx, by) = side(0), side(1)
     longer = F.hypot(ax, ay) >= F.hypot(bx, by)
     angle = F.pmod(F.degrees(F.atan2(F.when(longer, ay).otherwise(by), F.when(longer, ax).otherwise(bx))), F.lit(180.0))
-    lines = parts.select(F.struct(*key, "part").alias("line_id"), call("Route", "geom", F.lit(float(swath)), angle).alias("line"))
-    pts = line_points(lines)
-    runs = straight_runs(pts).groupBy("line_id").agg(F.max("run").alias("turns"), F.sum("length").alias("s"), F.count("*").alias("k"))
-    ends = pts.groupBy("line_id").agg(F.min_by(F.struct("x", "y"), "seq").alias("first"), F.max_by(F.struct("x", "y"), "seq").alias("last"))
-    w = Window.partitionBy(*["line_id." + k for k in key]).orderBy("line_id.part")
-    hop = F.coalesce(F.hypot(F.lead("first.x").over(w) - F.col("last.x"), F.lead("first.y").over(w) - F.col("last.y")), F.lit(0.0))
-    ends = ends.select("line_id", hop.alias("hop"))
-    flown = runs.join(ends, "line_id").groupBy(*[F.col("line_id." + k).alias(k) for k in key]).agg((F.sum("turns") + F.count("*") - 1).alias("turns"), F.sum("s").alias("s"), F.sum("k").alias("k"), F.sum("hop").alias("hop"))
-    n = parts.groupBy(*key).count()
-    y = x.drop("shape").join(n, key, "left").join(flown, key, "left")
+    # one pass: parts of a shape, their lines and turns, and back to one row per shape
+    parts = x.select(*key, "stop", "a", "t", "both", F.posexplode_outer(call("Polygons", "shape")).alias("part", "geom"))
+    parts = parts.withColumn("points", call("Points", call("Route", "geom", F.lit(float(swath)), angle)))
+    parts = parts.withColumn("flown", turn_stats(F.col("points")))
+    ends = F.when(F.col("flown").isNotNull(), F.struct("part", F.element_at("points", 1).alias("first"), F.element_at("points", -1).alias("last")))
+    y = parts.groupBy(*key, "stop").agg(
+        *[F.first(c).alias(c) for c in ("a", "t", "both")],
+        F.count("part").alias("count"),
+        (F.sum("flown.turns") + F.count("flown") - 1).alias("turns"),
+        F.sum("flown.length").alias("s"),
+        F.sum("flown.runs").alias("k"),
+        F.array_sort(F.collect_list(ends)).alias("ends"),
+    )
+    n = F.greatest(F.size("ends") - 1, F.lit(0))
+    hops = F.zip_with(F.slice("ends", 1, n), F.slice("ends", 2, n), lambda p, q: F.hypot(F.get(q["first"], 0) - F.get(p["last"], 0), F.get(q["first"], 1) - F.get(p["last"], 1)))
+    y = y.withColumn("hop", F.aggregate(hops, F.lit(0.0), lambda a, v: a + v)).drop("ends")
     rho = F.get(F.array(*map(F.lit, rhos)), F.col("i"))
     y = y.withColumn("i", F.explode(F.sequence("first", F.col("stop") - 1))).withColumn("rho_min", rho)
     y = y.groupBy("rho_min", "max_depth").agg(*[F.sum(c).alias(c) for c in ("a", "t", "both", "count", "turns", "s", "k", "hop")])
