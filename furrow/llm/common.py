@@ -231,3 +231,17 @@ def shingles(word: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.
 
 def per_row(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(row, weights=values, minlength=n).astype(np.int64)
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Non-negative integers, nearly all small: one byte each, and a list of those from 255 on."""
+    at = np.flatnonzero(x >= 255)
+    return b"".join((len(at).to_bytes(4, "little"), at.astype("<u4").tobytes(), x[at].astype("<u8").tobytes(), np.minimum(x, 255).astype(np.uint8).tobytes()))
+
+
+def wide(raw: bytes) -> np.ndarray:
+    """The integers of narrow()."""
+    n = int.from_bytes(raw[:4], "little")
+    x = np.frombuffer(raw, np.uint8, offset=4 + 12 * n).astype(np.int64)
+    x[np.frombuffer(raw, "<u4", n, 4)] = np.frombuffer(raw, "<u8", n, 4 + 4 * n)
+    return x

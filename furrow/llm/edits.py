@@ -27,13 +27,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from furrow.llm.bpe import TEXT_SLICE, default_path, list_array
-from furrow.llm.common import slices, spare_name, utf8
+from furrow.llm.bpe import default_path
+from furrow.llm.common import narrow, slices, spare_name, utf8, wide
 from furrow.llm.library_tokens import encoder
 
 _LEAF = regex.compile(r"[^ \t-\r]*[ \t-\r]+|[^ \t-\r]+")
@@ -145,18 +144,23 @@ def _counter(path: str) -> Count:
 
 
 def build(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """docs with leaf_chars and leaf_tokens (array<int>): the segment tree of each text.  Clashing names get underscores."""
+    """docs with leaf_chars and leaf_tokens (binary, numbers as narrow() packs them): the segment tree of each text.
+
+    Clashing names get underscores.
+    """
     path = path or default_path()
     names = [spare_name(docs, n) for n in LEAVES]
-    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.ArrayType(T.IntegerType())) for n in names]])
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.BinaryType()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
             data, offsets = utf8(batch.column(text))
-            for i, j in slices(offsets, TEXT_SLICE):
-                per_row, chars, tokens = leaves_of(own, data, offsets[i : j + 1])
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, list_array(chars, per_row), list_array(tokens, per_row)], schema.names)
+            for i, j in slices(offsets):
+                per_row, *leaves = leaves_of(own, data, offsets[i : j + 1])
+                cuts = np.cumsum(per_row)[:-1]
+                packed = [pa.array([narrow(x) for x in np.split(each, cuts)], pa.binary()) for each in leaves]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *packed], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -194,9 +198,8 @@ def apply_edits(trees: DataFrame, path: str | None = None, text: str = "text", e
 
     def one(part: pa.RecordBatch, count: Count) -> pa.RecordBatch:
         texts = ["" if x is None else x for x in part.column(text).to_pylist()]
-        flat = [np.asarray(pc.list_flatten(part.column(c)), np.int64) for c in leaves]
-        ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(part.column(leaves[0])), 0), np.int64)).tolist()
-        trees_ = [TokenTree(x, flat[0][a:b], flat[1][a:b], count) for x, a, b in zip(texts, [0, *ends], ends, strict=False)]
+        columns = [part.column(c).to_pylist() for c in leaves]
+        trees_ = [TokenTree(x, wide(c), wide(t), count) for x, c, t in zip(texts, *columns, strict=True)]
         before = [t.tokens for t in trees_]
         queues = [[e for e in changes or [] if e is not None] for changes in part.column(edits).to_pylist()]
         for nth in range(max(map(len, queues), default=0)):  # the nth edits of all documents are encoded together
@@ -209,8 +212,7 @@ def apply_edits(trees: DataFrame, path: str | None = None, text: str = "text", e
             if f.name == text:
                 columns.append(pa.array([t.text for t in trees_], pa.string()))
             elif f.name in leaves:
-                own = [t.leaves()[:, leaves.index(f.name)] for t in trees_]
-                columns.append(list_array(np.concatenate([*own, np.empty(0, np.int64)]), np.array([len(x) for x in own])))
+                columns.append(pa.array([narrow(t.leaves()[:, leaves.index(f.name)]) for t in trees_], pa.binary()))
             else:
                 columns.append(part.column(f.name))
         numbers = [before, [t.tokens for t in trees_], [len(t.text) for t in trees_], [t.encoded_chars for t in trees_]]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.common import hash_spans, mix, utf8, windows, word_spans
+from furrow.llm.common import hash_spans, mix, narrow, utf8, wide, windows, word_spans
 from furrow.llm.mixing import words
 
 ORDER, BACKOFF = 3, 0.4
@@ -52,19 +52,6 @@ def _grams(table: pa.Table, order: int, bits: int) -> tuple[list[tuple[np.ndarra
     return [(np.concatenate(k), np.concatenate(p)) for k, p in zip(keys, lasts, strict=True)], np.concatenate(rows)
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Non-negative integers, nearly all small: one byte each, and a list of those from 255 on."""
-    at = np.flatnonzero(x >= 255)
-    return b"".join((len(at).to_bytes(4, "little"), at.astype("<u4").tobytes(), x[at].astype("<u8").tobytes(), np.minimum(x, 255).astype(np.uint8).tobytes()))
-
-
-def _wide(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    x = np.frombuffer(raw, np.uint8, offset=4 + 12 * n).astype(np.int64)
-    x[np.frombuffer(raw, "<u4", n, 4)] = np.frombuffer(raw, "<u8", n, 4 + 4 * n)
-    return x
-
-
 def _pack_keys(keys: np.ndarray) -> bytes:
     """Sorted keys: the first, then differences in 4 bytes each; the few that need more have their upper parts in a list."""
     gap = np.diff(keys)
@@ -99,7 +86,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, leave_o
             part = (own >> _U(bits - split)).astype(np.int64)
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(own) else []
             for a, b in zip(cut, np.r_[cut[1:], len(own)], strict=True):
-                for name, x in (("part", int(part[a])), ("n", n), ("block", block.column("block")[0].as_py()), ("keys", _pack_keys(own[a:b])), ("counts", _narrow(count[a:b]))):
+                for name, x in (("part", int(part[a])), ("n", n), ("block", block.column("block")[0].as_py()), ("keys", _pack_keys(own[a:b])), ("counts", narrow(count[a:b]))):
                     out[name].append(x)
         return pa.table(out, schema=pa.schema([("part", pa.int32()), ("n", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
@@ -109,11 +96,11 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, leave_o
         for n in np.unique(which):
             at = np.flatnonzero(which == n)
             keys = [_unpack_keys(messages.column("keys")[i].as_py()) for i in at.tolist()]
-            counts = np.concatenate([_wide(messages.column("counts")[i].as_py()) for i in at.tolist()])
+            counts = np.concatenate([wide(messages.column("counts")[i].as_py()) for i in at.tolist()])
             _, code = np.unique(np.concatenate(keys), return_inverse=True)
             total = np.bincount(code, weights=counts).astype(np.int64)[code]
             for i, x in zip(at.tolist(), np.split(total, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
-                totals[i] = _narrow(x)
+                totals[i] = narrow(x)
         return pa.table({"block": messages.column("block"), "part": messages.column("part"), "n": messages.column("n"), "totals": pa.array(totals, pa.binary())})
 
     def sum_up(block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -128,7 +115,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, leave_o
             if not len(keys):
                 break
             _, code = np.unique(keys, return_inverse=True)
-            count = np.concatenate([_wide(totals[i].as_py()) for i in np.flatnonzero(which == n).tolist()])[code]
+            count = np.concatenate([wide(totals[i].as_py()) for i in np.flatnonzero(which == n).tolist()])[code]
             if leave_out:
                 _, code, own = np.unique(mix(keys * _U(0x9E3779B97F4A7C15) + row[last].astype(np.uint64)), return_inverse=True, return_counts=True)
                 count = count - own[code]

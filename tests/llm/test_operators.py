@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from furrow.llm import bpe, edits, itq, lm_score, mixing, ngram_join, quality, queries, rans, secrets, sharding
+from furrow.llm import bpe, common, edits, itq, lm_score, mixing, ngram_join, quality, queries, rans, secrets, sharding
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tokens string, block int, chunk int, secrets string, shard int, n int"
@@ -300,7 +300,7 @@ def test_edits(docs, nothing):
             text = edited(before[r.doc_id], r.edits)
             assert r.text == text and r.n_chars_after == len(text) and r.n_tokens == "clash"
             assert (r["n_tokens_before"], r["n_tokens_"]) == (n(before[r.doc_id]), n(text))
-            assert (sum(r.leaf_chars), sum(r.leaf_tokens)) == (len(text), n(text))
+            assert (common.wide(bytes(r.leaf_chars)).sum(), common.wide(bytes(r.leaf_tokens)).sum()) == (len(text), n(text))
             before[r.doc_id] = text
     assert edits.apply_edits(queries.edit_script(edits.build(nothing))).count() == 0
 
