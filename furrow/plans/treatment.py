@@ -1,6 +1,6 @@
 """From detections, fields and obstacles to treatment polygons: one lazy plan.
 
-Rows carry WKB and ordinals.  Shuffles: the grid join of detections with fields, the clusters of a
+Rows carry WKB and ordinals.  Shuffles: equal detections, the grid join of detections with fields, the clusters of a
 field, the polygons of a cluster, and the grid join of a field's polygons.  What the kernel cannot
 work on costs its own field only.
 """
@@ -53,24 +53,37 @@ def working_zone(weeds: DataFrame, cfg: PlanConfig) -> tuple[int, bool]:
     return crs.parse_epsg(one.select(crs.utm_epsg(F.col("c.x"), F.col("c.y"))).first()[0])
 
 
+def collapsed(polygons: DataFrame) -> DataFrame:
+    """(ord, geom, minx..maxy, copies): equal polygons as one row, with the first one's place and their number.
+
+    No method's result depends on copies, but for the axis over all vertices, which counts them.
+    """
+    return polygons.groupBy("geom", *BOUNDS).agg(F.min("ord").alias("ord"), F.count("*").alias("copies"))
+
+
 def clip_to_fields(weeds: DataFrame, fields: DataFrame, cell: float = 200.0) -> DataFrame:
-    """(field, ord, geom): parts of detections inside fields, in the detections' order."""
+    """(field, ord, geom, copies): parts of collapsed detections inside fields, in the detections' order."""
     j = overlapping(weeds, fields, cell).where(call("Relate", "l_geom", "r_geom", F.lit("intersects")))
     g = call("Repair", call("Overlay", "l_geom", "r_geom", F.lit("intersection")), F.lit(True))
-    x = j.select(F.col("r_ord").alias("field"), F.col("l_ord").alias("weed"), F.posexplode(call("Polygons", g)).alias("part", "geom"))
-    return x.withColumn("ord", F.row_number().over(Window.partitionBy("field").orderBy("weed", "part"))).select("field", "ord", "geom")
+    x = j.select(F.col("r_ord").alias("field"), F.col("l_ord").alias("weed"), F.col("l_copies").alias("copies"), F.posexplode(call("Polygons", g)).alias("part", "geom"))
+    return x.withColumn("ord", F.row_number().over(Window.partitionBy("field").orderBy("weed", "part"))).select("field", "ord", "geom", "copies")
 
 
 def clusters(parts: DataFrame, distance: float, quad_segs: int) -> DataFrame:
     """parts with `cluster`: connected regions of a field's polygons grown by half the distance; null geom where a field's geometry is broken."""
+    parts = _counted(parts)
     if distance <= 0:
         return parts.withColumn("cluster", F.col("ord").cast("int"))
-    g = parts.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("ord", "geom"))).alias("p"))
+    g = parts.groupBy("field").agg(F.array_sort(F.collect_list(F.struct("ord", "geom", "copies"))).alias("p"))
     label = call("Cluster", F.transform("p", lambda v: v["geom"]), F.lit(float(distance)), F.lit(quad_segs))
     g = g.withColumn("label", label)
-    rows = F.when(F.col("label").isNotNull(), F.zip_with("p", "label", lambda v, c: F.struct(v["ord"].alias("ord"), v["geom"].alias("geom"), c.alias("cluster"))))
-    none = F.array(F.struct(F.lit(0).cast("long").alias("ord"), F.lit(None).cast("binary").alias("geom"), F.lit(-1).alias("cluster")))
-    return g.select("field", F.explode(F.coalesce(rows, none)).alias("z")).select("field", "z.ord", "z.geom", "z.cluster")
+    rows = F.when(F.col("label").isNotNull(), F.zip_with("p", "label", lambda v, c: F.struct(v["ord"].alias("ord"), v["geom"].alias("geom"), v["copies"].alias("copies"), c.alias("cluster"))))
+    none = F.array(F.struct(F.lit(0).cast("long").alias("ord"), F.lit(None).cast("binary").alias("geom"), F.lit(1).cast("long").alias("copies"), F.lit(-1).alias("cluster")))
+    return g.select("field", F.explode(F.coalesce(rows, none)).alias("z")).select("field", "z.ord", "z.geom", "z.copies", "z.cluster")
+
+
+def _counted(parts: DataFrame) -> DataFrame:
+    return parts if "copies" in parts.columns else parts.withColumn("copies", F.lit(1).cast("long"))
 
 
 def cover(parts: DataFrame, cfg: PlanConfig) -> DataFrame:
@@ -80,8 +93,9 @@ def cover(parts: DataFrame, cfg: PlanConfig) -> DataFrame:
     """
     parameters = F.array(*[F.lit(x) for x in cfg.cover_parameters()])
     # collect_list leaves nulls out, so geometries travel in a struct
-    g = parts.groupBy("field", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "geom"))), lambda v: v["geom"]).alias("p"))
-    shapes = g.withColumn("shapes", call("Cover", F.lit(cfg.coverage_method), "p", parameters))
+    g = _counted(parts).groupBy("field", "cluster").agg(F.array_sort(F.collect_list(F.struct("ord", "geom", "copies"))).alias("v"))
+    g = g.select("field", "cluster", F.transform("v", lambda v: v["geom"]).alias("p"), F.transform("v", lambda v: v["copies"]).alias("n"))
+    shapes = g.withColumn("shapes", call("CoverCopies", F.lit(cfg.coverage_method), "p", "n", parameters))
     shapes = shapes.withColumn("broken", F.max(F.col("shapes").isNull()).over(Window.partitionBy("field"))).where("not broken")
     return shapes.select("field", "cluster", F.posexplode("shapes").alias("piece", "geom"))
 
@@ -104,9 +118,9 @@ def resolve_overlaps(pieces: DataFrame, min_area: float, cell: float = 100.0) ->
 
 def treat(weeds: DataFrame, fields: DataFrame, obstacles: DataFrame, cfg: PlanConfig) -> DataFrame:
     """(field, rank, part, geom) in metres from polygons in metres (ord, geom, minx..maxy)."""
-    clipped = clip_to_fields(weeds, fields)
+    clipped = clip_to_fields(collapsed(weeds), fields)
     grown = call("Repair", call("Buffer", "geom", F.lit(float(cfg.weed_buffer_m)), F.lit(cfg.quad_segs), F.lit("round")), F.lit(cfg.fix_invalid_geometries))
-    parts = clipped.select("field", "ord", F.posexplode(call("Polygons", grown)).alias("k", "geom"))
+    parts = clipped.select("field", "ord", "copies", F.posexplode(call("Polygons", grown)).alias("k", "geom"))
     parts = parts.withColumn("ord", F.row_number().over(Window.partitionBy("field").orderBy("ord", "k"))).drop("k")
     shapes = cover(clusters(parts, cfg.merge_distance_m, cfg.quad_segs), cfg)
     shapes = shapes.withColumn("geom", call("Repair", "geom", F.lit(cfg.fix_invalid_geometries)))
