@@ -282,8 +282,8 @@ def source_crs(spark, d):
 _BOX = "CAST(event_id % 500 AS DOUBLE) / 1000 - 35 AS lon, CAST(event_id % 300 AS DOUBLE) / 1000 - 6 AS lat"
 
 
-def feature_texts(spark, d) -> DataFrame:
-    """(file, text): a collection per user, with boxes, two-part boxes, lines, nulls, boxes off the globe, and things that are no features."""
+def feature_texts(spark, d, block: int = 10_000) -> DataFrame:
+    """(file, part, text): seven collections, in texts of at most `block` features each, with boxes, two-part boxes, lines, nulls, boxes off the globe, and things that are no features."""
     e = spark.read.parquet(f"{d}/events.parquet").selectExpr("event_id", "user_id % 7 as file", *_BOX.split(", "))
 
     def ring(x, y) -> Column:
@@ -297,9 +297,10 @@ def feature_texts(spark, d) -> DataFrame:
     n = F.col("event_id")
     g = F.when(n % 11 == 0, off).when(n % 13 == 0, '{"type":"Point","coordinates":"none"}').when(n % 17 == 0, "null").when(n % 5 == 0, two).otherwise(box)
     f = F.when(n % 19 == 0, "7").otherwise(F.concat(F.lit('{"type":"Feature","properties":{"id":'), n.cast("string"), F.lit('},"geometry":'), g, F.lit("}")))
-    files = e.withColumn("f", f).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "f"))), lambda v: v["f"]).alias("fs"))
+    part = F.floor(n / block).alias("part")
+    files = e.withColumn("f", f).groupBy("file", part).agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "f"))), lambda v: v["f"]).alias("fs"))
     kind = F.when(F.col("file") == 3, '"FeatureCollection","features":7}').otherwise(F.concat(F.lit('"FeatureCollection","features":['), F.array_join("fs", ","), F.lit("]}")))
-    return files.select(F.col("file").cast("int").alias("file"), F.concat(F.lit('{"type":'), kind).alias("text"))
+    return files.select(F.col("file").cast("int").alias("file"), "part", F.concat(F.lit('{"type":'), kind).alias("text"))
 
 
 _FEATURES = f""", e AS (SELECT event_id, CAST(user_id % 7 AS INTEGER) AS file, {_BOX}, row_number() OVER (PARTITION BY user_id % 7 ORDER BY event_id) - 1 AS pos FROM events),

@@ -33,15 +33,18 @@ def extract(features: DataFrame, zone: int, south: bool, fix: bool = True) -> Da
     first = F.get(call("Points", "g"), 0)
     x = x.where(F.get(first, 0).between(-180, 180) & F.get(first, 1).between(-90, 90))
     x = x.withColumn("geom", call("Project", "g", F.lit(zone), F.lit(south), F.lit(False))).where(call("Measure", "geom", F.lit("area")) > 0)
-    return bounded(numbered(x, ["file", "pos", "part"]).select("ord", "geom"))
-
-
-def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Row numbers from 0 in the order of keys, without one task for all rows: counts per file first, then within files."""
-    sizes = df.groupBy(keys[0]).count()
-    before = sizes.select(keys[0], (F.sum("count").over(Window.orderBy(keys[0])) - F.col("count")).alias("_before"))
-    nth = F.row_number().over(Window.partitionBy(keys[0]).orderBy(*keys[1:])) - 1
-    return df.join(before, keys[0]).withColumn("ord", (F.col("_before") + nth).cast("long")).drop("_before")
+    return bounded(numbered(x.select("file", "pos", "part", "geom"), ["file", "pos", "part"]).select("ord", "geom"))
+
+
+def numbered(df: DataFrame, keys: list[str], block: int = 4096) -> DataFrame:
+    """Row numbers from 0 in the order of keys, without one task for all rows or a file's: counts per block of the second key first, then within blocks."""
+    x = df.withColumn("_block", F.floor(F.col(keys[1]) / block))
+    place, rest = [keys[0], "_block"], [c for c in df.columns if c not in keys]
+    x = x.withColumn("_nth", F.row_number().over(Window.partitionBy(*place).orderBy(*keys[1:])))
+    # counting with all columns keeps the shuffle the same for both sides, so that Spark runs what is before it once
+    n = F.max(F.when(F.struct(*rest).isNotNull() & F.hash(*rest).isNotNull(), F.col("_nth")))
+    before = x.groupBy(place).agg(n.alias("_n")).select(*place, (F.sum("_n").over(Window.orderBy(*place)) - F.col("_n")).alias("_before"))
+    return x.join(before, place).withColumn("ord", (F.col("_before") + F.col("_nth") - 1).cast("long")).drop("_before", "_nth", "_block")
 
 
 def working_zone(weeds: DataFrame, cfg: PlanConfig) -> tuple[int, bool]:

@@ -46,12 +46,21 @@ def read(spark: SparkSession, paths: str | list[str], allow_missing: bool = Fals
 def parse(files: DataFrame, skip_bad: bool = False) -> DataFrame:
     """Features of (file, text) rows; null geometries and features that are no objects are left out.
 
+    A large collection may come in several texts (file, part, text), each a collection itself; `pos` counts on over
+    them in the order of `part`, so that no text has to hold a whole file.
     A text that is not JSON fails, or is left out with skip_bad.
     """
+    part = ["part"] if "part" in files.columns else []
     bad = F.raise_error(F.concat(F.lit("not JSON: "), F.substring("text", 1, 80))).cast("string")
     whole = F.when(F.try_parse_json("text").isNull(), F.lit(None).cast("string") if skip_bad else bad).otherwise(F.col("text"))
-    x = files.select("file", F.from_json(whole, _FEATURE).alias("fc"))
-    x = x.where(F.col("fc.features").isNotNull()).select("file", F.nullif(F.trim("fc.crs.properties.name"), F.lit("")).alias("crs"), F.posexplode("fc.features").alias("pos", "f"))
+    x = files.select("file", *part, F.from_json(whole, _FEATURE).alias("fc")).where(F.col("fc.features").isNotNull())
+    if part:
+        n = F.size("fc.features")
+        before = F.sum("_n").over(Window.partitionBy("file").orderBy("part")) - F.col("_n")
+        x = x.join(x.select("file", "part", n.alias("_n")).select("file", "part", before.cast("int").alias("_before")), ["file", "part"])
+    x = x.select("file", *["_before"] * len(part), F.nullif(F.trim("fc.crs.properties.name"), F.lit("")).alias("crs"), F.posexplode("fc.features").alias("pos", "f"))
+    if part:
+        x = x.withColumn("pos", F.col("pos") + F.col("_before"))
     geometry, properties = F.get_json_object("f", "$.geometry"), F.from_json(F.get_json_object("f", "$.properties"), "map<string,string>")
     x = x.select("file", "pos", geometry.alias("geometry"), F.coalesce(properties, F.create_map().cast("map<string,string>")).alias("properties"), "crs")
     return x.where("geometry is not null and geometry like '{%'")

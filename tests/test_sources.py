@@ -110,3 +110,16 @@ def test_a_broken_geometry_costs_its_own_field(spark):
 def test_empty_survey_has_the_columns_of_a_read_one(spark, tmp_path):
     (tmp_path / "s.csv").write_text("evaluator,method,coverage\nA,x,3\n")
     assert likert.empty(spark).dtypes == likert.read(spark, str(tmp_path / "s.csv")).dtypes
+
+
+def test_collection_in_several_texts(spark):
+    """Positions count on over a file's texts, things that are no features included; numbers over blocks are those of one order."""
+    square = json.dumps({"type": "Feature", "geometry": SQUARE, "properties": {}})
+    texts = [(0, 1, [square, "7", square]), (0, 0, ["7", square]), (1, 0, [square]), (0, 5, [square] * 4)]
+    rows = [(f, p, '{"type":"FeatureCollection","features":[' + ",".join(x) + "]}") for f, p, x in texts]
+    parsed = geojson.parse(spark.createDataFrame(rows, "file int, part long, text string"))
+    at = [(0, 1), (0, 2), (0, 4), (0, 5), (0, 6), (0, 7), (0, 8), (1, 0)]
+    assert sorted((r.file, r.pos) for r in parsed.select("file", "pos").collect()) == at
+    numbered = treatment.numbered(parsed.select("file", "pos", F.lit(0).alias("part"), "geometry"), ["file", "pos", "part"], block=3)
+    assert [(r.file, r.pos) for r in sorted(numbered.select("file", "pos", "ord").collect(), key=lambda r: r.ord)] == at
+    assert sorted(r.ord for r in numbered.select("ord").collect()) == list(range(8))
