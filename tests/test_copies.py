@@ -8,7 +8,7 @@ from furrow.config import PlanConfig
 from furrow.kernel import call
 from furrow.plans import treatment
 
-METHODS = ["aabb", "concave-hull", "strip-based", "bcd", "convex-hull", "quadtree", "fixed-grid", "morph-closing"]
+METHODS = ["aabb", "concave-hull", "strip-based", "bcd", "convex-hull", "quadtree", "fixed-grid", "morph-closing", "mrr"]
 # a slanting row of patches, one off its line; the second number says how often each is listed
 PATCHES = [((4 + 5 * i, 6 + 2 * i + (9 if i == 7 else 0), 7 + 5 * i, 9 + 2 * i + (9 if i == 7 else 0)), 1 + (30 if i == 7 else i % 3)) for i in range(10)]
 
