@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 SOURCE = Path(__file__).with_name("Kernel.java")
 FUNCTIONS = {
     "Rect": "binary", "FromWkt": "binary", "ToWkt": "string", "FromJson": "binary", "ToJson": "string", "Measure": "double", "Relate": "boolean",
-    "Overlay": "binary", "Union": "binary", "Repair": "binary", "Polygons": "array<binary>", "LineParts": "array<binary>", "Buffer": "binary",
+    "Overlay": "binary", "Less": "binary", "Union": "binary", "Repair": "binary", "Polygons": "array<binary>", "LineParts": "array<binary>", "Buffer": "binary",
     "Shape": "binary", "Rotate": "binary", "Points": "array<array<double>>", "RingPoints": "array<array<double>>", "Plain": "string", "Canonical": "string", "Project": "binary", "Cluster": "array<int>", "Cover": "array<binary>", "CoverCopies": "array<binary>", "Sweep": "array<binary>", "Route": "binary",
 }
 # Classes of the three jars that the source needs: Spark SQL, the Scala library, JTS.
